@@ -18,7 +18,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -51,7 +51,7 @@ _powers: dict[str, np.ndarray] = {"up": np.ones(1, U), "down": np.ones(1, U)}
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n of the hash's base and of its inverse."""
     if len(_powers["up"]) <= n:
-        size = max(n + 1, 2 * SLICE_BYTES)
+        size = max(n + 1, SLICE_BYTES + (1 << 18))
         for key, base in (("up", _BASE), ("down", _INVERSE)):
             steps = np.full(size, base, U)
             steps[0] = 1
