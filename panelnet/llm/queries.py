@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelnet.llm import bpe, chat, linededup, minhash, mixing, sharding
+from panelnet.llm import bpe, chat, linededup, minhash, mixing, ngramlm, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,15 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def _remainder(by: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(by))
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return ngramlm.score_texts(docs, _remainder(10) != 0).withColumn("held_out", F.coalesce(_remainder(10) == 0, F.lit(False)))
+
+
 def op5_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.bpe_encode(docs, public_vocabulary(), ("n_tokens", "ids_sha256", "decoded_sha256"))
