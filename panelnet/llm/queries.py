@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelnet.llm import bpe, chat, linededup, minhash, mixing, ngramlm, sharding
+from panelnet.llm import bpe, chat, langid, linededup, minhash, mixing, ngramlm, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,12 @@ def op6_shard_by_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    learned = langid.learn(docs, _remainder(4) != 2)
+    return langid.identify(docs, learned).withColumn("held_out", F.coalesce(_remainder(4) == 2, F.lit(False)))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     told = "</s>[INST] ok [/INST]"
