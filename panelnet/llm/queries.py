@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelnet.llm import bpe, chat, langid, linededup, minhash, mixing, ngramlm, sharding, vectors
+from panelnet.llm import bpe, chat, langid, linededup, minhash, mixing, ngramlm, quality, sharding, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,6 +83,10 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
