@@ -205,10 +205,11 @@ def _labeller(learned, settings: Settings, spans: bool):
                 total = share.sum(axis=1)
                 lang = np.where((total > 0) & (k > 0), share.argmax(axis=1), k)
                 conf = np.where(total > 0, share.max(axis=1) / np.maximum(total, 1), 0.0) * (k > 0)
+                more = [batch.column(i).slice(lo, hi - lo) for i in range(2, batch.num_columns)]
                 columns = [batch.column(0).slice(lo, hi - lo), pa.array(names[lang].tolist(), pa.string()), pa.array(conf)]
                 if spans:
                     columns.append(_spans(w, path, model.langs, letters))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", *["spans"] * spans])
+                yield pa.RecordBatch.from_arrays([*columns, *more], ["doc_id", "lang_pred", "score", *["spans"] * spans, *batch.schema.names[2:]])
 
     return run
 
@@ -224,14 +225,15 @@ def _spans(w: Words, path: np.ndarray, langs: tuple[str, ...], letters: np.ndarr
     return pa.array(rows, pa.list_(pa.struct([("lang", pa.string()), ("begin", pa.int64()), ("words", pa.int64()), ("letters", pa.int64())])))
 
 
-def identify(docs: DataFrame, learned: Learned, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
-    """(doc_id, lang_pred, score[, spans]) for every row, from the text alone.
+def identify(docs: DataFrame, learned: Learned, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", spans: bool = False, more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lang_pred, score[, spans]) for every row, from the text alone, and the columns ``more`` as they are, prefixed by ``_``.
 
     lang_pred: the language whose spans hold most of the text's letters, the first by name at a tie; ``und`` for a text that is null or
     has no letter, or if nothing was learned. score: the share of its letters in those spans; 0 for ``und``. spans: each one's
     language, first word, words and letters. Ids may be null or repeat; other columns are ignored; an empty table gives an empty one.
     """
     sent = docs.sparkSession.sparkContext.broadcast(learned)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, lang_pred string, score double" + ", spans array<struct<lang:string,begin:long,words:long,letters:long>>" * spans
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"_{c}") for c in more))
+    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
+    schema = "doc_id long, lang_pred string, score double" + ", spans array<struct<lang:string,begin:long,words:long,letters:long>>" * spans + kept
     return rows.mapInArrow(_labeller(sent, settings, spans), schema)
