@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelnet.llm.textkernel import releasing
+
 MOST_RANK_BYTES = 64 << 20
 LEAF = 1 << 14
 WINDOW = 64
@@ -104,6 +106,7 @@ def decode_tree(ids: np.ndarray, decode: Callable[[list[int]], bytes], leaf: int
 
 
 def _coder(ranks, pattern: str, columns: tuple[str, ...], text_at: int | None, ids_at: int | None):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoding(ranks.value, pattern)
         for batch in batches:

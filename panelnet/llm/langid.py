@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelnet.llm.textkernel import LOWER, U, Words, mix, slices, word_hashes, words
+from panelnet.llm.textkernel import LOWER, U, Words, mix, releasing, slices, word_hashes, words
 
 UNKNOWN = "und"
+PATH_WORDS = 1 << 20
 #: First code points of ranges of scripts, by the blocks of Unicode; ranges of one name are one script.
 SCRIPTS = (
     (0x0041, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0700, "Other"),
@@ -82,6 +83,7 @@ def _trigrams(data: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int
 
 
 def _learner(settings: Settings):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict[str, np.ndarray] = {}
         scripts: dict[str, np.ndarray] = {}
@@ -191,37 +193,49 @@ def _word_scores(data: np.ndarray, w: Words, learned: Learned, buckets: int) ->
 
 
 def _labeller(learned, settings: Settings, spans: bool):
+    def labelled(batch: pa.RecordBatch, count: np.ndarray, score: np.ndarray, letters: np.ndarray) -> pa.RecordBatch:
+        langs: tuple[str, ...] = learned.value.langs
+        k, names = len(langs), np.array([*langs, UNKNOWN], object)
+        first = np.concatenate(([0], np.cumsum(count)))
+        path = viterbi(score, first, settings.penalty)
+        text = np.repeat(np.arange(len(count)), count)
+        share = np.zeros((len(count), max(k, 1)))
+        np.add.at(share, (text, path), letters)
+        total = share.sum(axis=1)
+        lang = np.where((total > 0) & (k > 0), share.argmax(axis=1), k)
+        conf = np.where(total > 0, share.max(axis=1) / np.maximum(total, 1), 0.0) * (k > 0)
+        columns = [batch.column(0), pa.array(names[lang].tolist(), pa.string()), pa.array(conf)]
+        if spans:
+            columns.append(_spans(text, first, path, langs, letters))
+        more = [batch.column(i) for i in range(2, batch.num_columns)]
+        return pa.RecordBatch.from_arrays([*columns, *more], ["doc_id", "lang_pred", "score", *["spans"] * spans, *batch.schema.names[2:]])
+
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Learned = learned.value
-        names = np.array([*model.langs, UNKNOWN], object)
         k = len(model.langs)
         for batch in batches:
-            for lo, hi, data, offs in slices(batch.column(1), 4 << 20):
+            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            begin, n_words = 0, 0
+            for _, hi, data, offs in slices(batch.column(1)):
                 w = words(data, offs)
                 score, letters = _word_scores(data, w, model, settings.buckets) if k else (np.zeros((len(w.start), 1), np.float32), np.zeros(len(w.start), int))
-                path = viterbi(score, w.first, settings.penalty)
-                share = np.zeros((hi - lo, max(k, 1)))
-                np.add.at(share, (w.text, path), letters)
-                total = share.sum(axis=1)
-                lang = np.where((total > 0) & (k > 0), share.argmax(axis=1), k)
-                conf = np.where(total > 0, share.max(axis=1) / np.maximum(total, 1), 0.0) * (k > 0)
-                more = [batch.column(i).slice(lo, hi - lo) for i in range(2, batch.num_columns)]
-                columns = [batch.column(0).slice(lo, hi - lo), pa.array(names[lang].tolist(), pa.string()), pa.array(conf)]
-                if spans:
-                    columns.append(_spans(w, path, model.langs, letters))
-                yield pa.RecordBatch.from_arrays([*columns, *more], ["doc_id", "lang_pred", "score", *["spans"] * spans, *batch.schema.names[2:]])
+                held.append((w.count, score, letters))
+                n_words += len(letters)
+                if n_words >= PATH_WORDS or hi == batch.num_rows:
+                    yield labelled(batch.slice(begin, hi - begin), *(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, begin, n_words = [], hi, 0
 
     return run
 
 
-def _spans(w: Words, path: np.ndarray, langs: tuple[str, ...], letters: np.ndarray) -> pa.Array:
+def _spans(text: np.ndarray, first: np.ndarray, path: np.ndarray, langs: tuple[str, ...], letters: np.ndarray) -> pa.Array:
     new = np.ones(len(path), bool)
-    new[1:] = (path[1:] != path[:-1]) | (w.text[1:] != w.text[:-1])
+    new[1:] = (path[1:] != path[:-1]) | (text[1:] != text[:-1])
     at = np.flatnonzero(new)
-    text = w.text[at]
-    rows: list[list] = [[] for _ in range(len(w.first) - 1)]
-    for i, (t, a, b) in enumerate(zip(text.tolist(), at.tolist(), [*at[1:].tolist(), len(path)], strict=True)):
-        rows[t].append({"lang": langs[path[a]] if langs else UNKNOWN, "begin": a - int(w.first[t]), "words": b - a, "letters": int(letters[a:b].sum())})
+    rows: list[list] = [[] for _ in range(len(first) - 1)]
+    for t, a, b in zip(text[at].tolist(), at.tolist(), [*at[1:].tolist(), len(path)], strict=True):
+        rows[t].append({"lang": langs[path[a]] if langs else UNKNOWN, "begin": a - int(first[t]), "words": b - a, "letters": int(letters[a:b].sum())})
     return pa.array(rows, pa.list_(pa.struct([("lang", pa.string()), ("begin", pa.int64()), ("words", pa.int64()), ("letters", pa.int64())])))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from panelnet.llm.components import components
 from panelnet.llm.storage import saved
-from panelnet.llm.textkernel import GOLDEN, U, distinct, mix, shingles, slices, step, word_hashes, words
+from panelnet.llm.textkernel import GOLDEN, U, distinct, mix, releasing, shingles, slices, step, word_hashes, words
 
 SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sig binary"
 
@@ -87,6 +87,7 @@ def superminhash(x: np.ndarray, first: np.ndarray, m: int) -> np.ndarray:
 
 
 def _sketcher(near: Near):
+    @releasing
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in slices(batch.column(1)):
@@ -119,6 +120,7 @@ def _sketcher(near: Near):
 
 
 def _setter(near: Near):
+    @releasing
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in slices(batch.column(1)):

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelnet.llm.storage import saved
-from panelnet.llm.textkernel import GOLDEN, PLACE, U, mix, slices, step, word_hashes, words
+from panelnet.llm.textkernel import GOLDEN, PLACE, U, mix, releasing, slices, step, word_hashes, words
 
 END = int(mix(np.array([97], U))[0])
 PARTS = 64
@@ -94,6 +94,7 @@ def _batch(key: np.ndarray, count: np.ndarray, **more: np.ndarray) -> pa.RecordB
     return pa.RecordBatch.from_pydict({"key": key.view(np.int64), "count": count} | more)
 
 
+@releasing
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, counts, held = [], [], 0
     for batch in batches:
@@ -110,6 +111,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_bigrams(frequent):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(frequent.value, U)
         keys, counts, heads, held = [], [], [], 0
@@ -206,6 +208,7 @@ def _least(counts: DataFrame, room: float, weight: Column) -> int:
 
 
 def _score(model: Model, exact, filter_, n_train: int, n_words: int):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, frequent, bits = exact.value[0], exact.value[1], exact.value[2], filter_.value
         table = Filter(bits, model)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelnet.llm.storage import saved
-from panelnet.llm.textkernel import BYTE_CODE, SPACE, U, _power, mix, shingles, slices, step, word_hashes, words
+from panelnet.llm.textkernel import BYTE_CODE, SPACE, U, _power, mix, releasing, shingles, slices, step, word_hashes, words
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_marks", "n_lines")
 SYMBOL = np.zeros(256, bool)
@@ -76,6 +76,7 @@ def counts(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     return [w.count, total(starts & ~space), total(SYMBOL[data]), n_dup, covered[w.first[1:]] - covered[w.first[:-1]], total(UPPER[data]), total(letters), total(MARK[data]), n_lines]
 
 
+@releasing
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offs in slices(batch.column(1)):

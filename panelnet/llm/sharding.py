@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from panelnet.llm.storage import saved
-from panelnet.llm.textkernel import buffers, words
+from panelnet.llm.textkernel import buffers, releasing, words
 
 BINS_PER_SHARD = 256
 
@@ -41,6 +41,7 @@ def pack(sizes: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
+@releasing
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds each text's number of words, an estimate of its tokens that costs one pass."""
     for batch in batches:

@@ -1,41 +1,5 @@
-"""Written tables that cut lineage and survive the loss of executors."""
+"""Tables in the shared folder; see panelnet.storage."""
 
-from __future__ import annotations
+from panelnet.storage import saved, shared_folder
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; only where it is unset, as in tests, one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelnet-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read back: later steps neither recompute it nor depend on one executor."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/panelnet-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _made:
-        atexit.register(_clean)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # the session has ended; whoever owns the folder clears it
-            return
+__all__ = ["saved", "shared_folder"]
