@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelnet.storage import saved
+
 BLOCK = 2048
 
 
@@ -198,20 +200,16 @@ def component_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> Da
     """(t, id, component): the least id reachable within the period; isolated nodes are components of their own.
 
     Labels jump to the least label among neighbours and then to that label's own label, so long paths take logarithmically many rounds;
-    each round is checkpointed and only the number of changes reaches the driver.
+    each round is written to the shared folder and only the number of changes reaches the driver.
     """
-    spark = nodes.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panelnet-"))
-    pairs = both_ways(edges.select("t", "src", "dst")).checkpoint()
-    label = nodes.select("t", "id", F.col("id").alias("c")).checkpoint()
+    pairs = saved(both_ways(edges.select("t", "src", "dst")))
+    label = saved(nodes.select("t", "id", F.col("id").alias("c")))
     for _ in range(rounds):
         least = pairs.join(label.select("t", F.col("id").alias("dst"), "c"), ["t", "dst"]).groupBy("t", F.col("src").alias("id")).agg(F.min("c").alias("m"))
         step = label.join(least, ["t", "id"], "left").select("t", "id", F.col("c").alias("was"), F.least("c", F.coalesce("m", "c")).alias("c"))
         jump = step.select("t", F.col("id").alias("c"), F.col("c").alias("up"))
-        new = step.join(jump, ["t", "c"], "left").select("t", "id", "was", F.least("c", F.coalesce("up", "c")).alias("c")).checkpoint()
+        new = step.join(jump, ["t", "c"], "left").select("t", "id", "was", F.least("c", F.coalesce("up", "c")).alias("c"))
+        new = saved(new)
         changed = new.filter("c <> was").limit(1).count()
         label = new.drop("was")
         if not changed:

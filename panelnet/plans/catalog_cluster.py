@@ -15,6 +15,7 @@ from panelnet.plans import paths
 from panelnet.plans import views as v
 from panelnet.plans.registry import query, rounded
 from panelnet.plans.views import FEATURES, N_PERIODS
+from panelnet.storage import saved
 
 ALL = [*FEATURES, "balance"]
 K, KNN, ALPHA = 4, 5, 0.5
@@ -22,11 +23,11 @@ K, KNN, ALPHA = 4, 5, 0.5
 
 def _vecs(spark, d):
     """The panel's vectors as scenario ``base``, written once: every rerun reads them."""
-    return net.vectors(v.features(spark, d), ALL).select(F.lit("base").alias("s"), "t", "id", "v").persist()
+    return saved(net.vectors(v.features(spark, d), ALL).select(F.lit("base").alias("s"), "t", "id", "v"))
 
 
 def _graph(vecs, k=KNN):
-    return paths.knn(vecs, k).persist()
+    return saved(paths.knn(vecs, k))
 
 
 def _points(vecs):
@@ -38,11 +39,11 @@ def _edges(edges):
 
 
 def _base(vecs, edges, assign="kmeans"):
-    return paths.path(vecs, edges, K, F.lit(ALPHA), N_PERIODS, assign=assign)
+    return saved(paths.path(vecs, edges, K, F.lit(ALPHA), N_PERIODS, assign=assign))
 
 
 def _base_modal(types):
-    return paths.modal_types(types).select("id", F.col("modal").alias("base")).persist()
+    return saved(paths.modal_types(types).select("id", F.col("modal").alias("base")))
 
 
 @query()
@@ -61,7 +62,7 @@ def kmeans_scan(spark, d):
     edges = _edges(_graph(vecs))
     out = []
     for k in (3, 4, 5):
-        points = _points(vecs).join(clu.kmeans(_points(vecs), k), ["g", "id"])
+        points = saved(_points(vecs).join(clu.kmeans(_points(vecs), k), ["g", "id"]))
         b = val.bundle(points, edges)
         out.append(b.agg(*(F.avg(c).alias(c) for c in ("sw", "ch", "s_dbw", "avi", "avu", "q"))).withColumn("k", F.lit(k)))
     return out[0].unionByName(out[1]).unionByName(out[2])
@@ -90,10 +91,10 @@ def run_matrix(spark, d):
     """Mean indices of every method on every graph: (method and graph) x period."""
     vecs = _vecs(spark, d)
     graphs = {"cosine_k5": _edges(_graph(vecs)), "cosine_k10": _edges(_graph(vecs, 10))}
-    labels, edges = clu.run_matrix(_points(vecs), graphs, list(clu.METHODS), K, "cosine_k5")
+    labels, edges = map(saved, clu.run_matrix(_points(vecs), graphs, list(clu.METHODS), K, "cosine_k5"))
     key = F.concat_ws("#", "config", "g")
     points = labels.join(_points(vecs), ["g", "id"]).select(key.alias("g"), "id", "v", "label")
-    b = val.bundle(points.persist(), edges.select(key.alias("g"), "src", "dst", "w"))
+    b = val.bundle(saved(points), edges.select(key.alias("g"), "src", "dst", "w"))
     numbers = [c for c in b.columns if c != "g"]
     return b.groupBy(F.split("g", "#")[0].alias("config")).agg(*(F.avg(c).alias(c) for c in numbers))
 
@@ -110,9 +111,10 @@ def alpha_grid(spark, d):
     vecs, grid = _vecs(spark, d), [0.0, 0.3, 0.5, 0.7, 0.85]
     edges = _graph(vecs)
     names = F.explode(F.array(*(F.struct(F.format_string("%.2f", F.lit(a)).alias("s"), F.lit(a).alias("alpha")) for a in grid)))
-    many = vecs.drop("s").withColumn("x", names).select("x.s", "t", "id", "v").persist()
-    each = edges.drop("s").withColumn("x", names).select("x.s", "t", "src", "dst", "w")
-    types = paths.path(many, each, K, F.col("s").cast("double"), N_PERIODS).persist()
+    many = vecs.drop("s").withColumn("x", names).select("x.s", "t", "id", "v")
+    many = saved(many)
+    each = saved(edges.drop("s").withColumn("x", names).select("x.s", "t", "src", "dst", "w"))
+    types = saved(paths.path(many, each, K, F.col("s").cast("double"), N_PERIODS))
     steps = lab.steps(types.select(F.struct("s", "id").alias("entity"), "t", "type"))
     ari = val.adjusted_rand(steps.select(F.concat_ws("|", "entity.s", F.col("t").cast("string")).alias("g"), "a", "b")).groupBy(F.split("g", r"\|")[0].alias("s")).agg(F.avg("ari").alias("ari"))
     g = F.concat_ws("|", "s", F.col("t").cast("string")).alias("g")
@@ -127,7 +129,7 @@ def variant_compare(spark, d):
     """The three ways of assigning labels in the spectral embedding: retention, largest jump, its period, agreement with the base."""
     vecs = _vecs(spark, d)
     edges = _graph(vecs)
-    runs = {a: _base(vecs, edges, a).persist() for a in ("kmeans", "discretize", "cluster_qr")}
+    runs = {a: _base(vecs, edges, a) for a in ("kmeans", "discretize", "cluster_qr")}
     base, out = _base_modal(runs["kmeans"]), []
     for name, types in runs.items():
         rate = lab.change_rate(types.select(F.col("id").alias("entity"), "t", "type"))
@@ -140,7 +142,7 @@ def variant_compare(spark, d):
 def jump_report(spark, d):
     """The largest jump's flows with the margins of movers and stayers."""
     vecs = _vecs(spark, d)
-    types = _base(vecs, _graph(vecs)).select(F.col("id").alias("entity"), "t", "type").persist()
+    types = _base(vecs, _graph(vecs)).select(F.col("id").alias("entity"), "t", "type")
     t = lab.top_jumps(types, 1).first()["t"]
     return lab.margins(v.features(spark, d), types, ALL, t)
 
@@ -150,8 +152,10 @@ def surrogate_tree(spark, d):
     """Accuracy of a shallow tree on the types: trained on 70 % of the entities, tested on the others."""
     vecs = _vecs(spark, d)
     types = _base(vecs, _graph(vecs)).select(F.col("id").alias("entity"), "t", F.col("type").cast("double").alias("type"))
-    rows = VectorAssembler(inputCols=ALL, outputCol="x").transform(v.features(spark, d).join(types, ["entity", "t"]))
-    rows = rows.withColumn("test", F.pmod(F.xxhash64("entity", F.lit(42)), F.lit(10)) < 3).persist()
+    rows = v.features(spark, d).join(types, ["entity", "t"])
+    rows = rows.withColumn("test", F.pmod(F.xxhash64("entity", F.lit(42)), F.lit(10)) < 3)
+    rows = saved(rows.select("type", "test", *ALL))
+    rows = VectorAssembler(inputCols=ALL, outputCol="x").transform(rows)
     model = DecisionTreeClassifier(labelCol="type", featuresCol="x", maxDepth=3, minInstancesPerNode=5, seed=42).fit(rows.filter("not test"))
     right = model.transform(rows).groupBy("test").agg(F.avg((F.col("prediction") == F.col("type")).cast("double")).alias("accuracy"), F.count("*").alias("n"))
     importance = F.array(*(F.struct(F.lit(c).alias("feature"), F.lit(float(x)).alias("importance")) for c, x in zip(ALL, model.featureImportances.toArray(), strict=True)))
@@ -169,7 +173,7 @@ def subsample_stability(spark, d):
 @query()
 def k_choice(spark, d):
     vecs = _vecs(spark, d)
-    mean = net.mean_graph(_graph(vecs), F.lit(N_PERIODS)).persist()
+    mean = saved(net.mean_graph(_graph(vecs), F.lit(N_PERIODS)))
     return paths.k_choice(vecs, mean, [3, 4], repeats=5)
 
 
@@ -185,7 +189,7 @@ def sensitivity(spark, d):
     runs += [paths.path(named(f"seed={s}"), edges.withColumn("s", F.lit(f"seed={s}")), K, F.lit(ALPHA), N_PERIODS, seed=s) for s in (1, 2)]
     while len(runs) > 1:
         runs[:2] = [runs[0].unionByName(runs[1])]
-    return paths.compared(runs[0].persist(), base)
+    return paths.compared(saved(runs[0]), base)
 
 
 @query()
@@ -194,8 +198,9 @@ def drop_feature(spark, d):
     vecs = _vecs(spark, d)
     base = _base_modal(_base(vecs, _graph(vecs)))
     without = F.explode(F.array(*(F.struct(F.lit(c).alias("s"), F.lit(i).alias("i")) for i, c in enumerate(ALL))))
-    part = vecs.drop("s").withColumn("x", without).select("x.s", "t", "id", F.filter("v", lambda _, i: i != F.col("x.i")).alias("v")).persist()
-    types = paths.path(part, paths.knn(part, KNN), K, F.lit(ALPHA), N_PERIODS).persist()
+    part = vecs.drop("s").withColumn("x", without).select("x.s", "t", "id", F.filter("v", lambda _, i: i != F.col("x.i")).alias("v"))
+    part = saved(part)
+    types = saved(paths.path(part, paths.knn(part, KNN), K, F.lit(ALPHA), N_PERIODS))
     pairs = paths.against(types, base)
     worst = val.best_jaccard(pairs).groupBy("g").agg(F.min_by("a", F.struct("jaccard", "a")).alias("worst_type"), F.min("jaccard").alias("worst_jaccard"))
     return val.adjusted_rand(pairs).join(worst, "g").withColumnRenamed("g", "feature")
@@ -207,8 +212,8 @@ def half_period(spark, d):
     vecs = _vecs(spark, d)
     base = _base_modal(_base(vecs, _graph(vecs)))
     half = N_PERIODS // 2
-    part = vecs.withColumn("s", F.when(F.col("t") < half, "first").otherwise("second")).withColumn("t", F.pmod("t", F.lit(half))).persist()
-    types = paths.path(part, paths.knn(part, KNN), K, F.lit(ALPHA), half).persist()
+    part = saved(vecs.withColumn("s", F.when(F.col("t") < half, "first").otherwise("second")).withColumn("t", F.pmod("t", F.lit(half))))
+    types = saved(paths.path(part, paths.knn(part, KNN), K, F.lit(ALPHA), half))
     own = paths.modal_types(types)
     both = own.filter("s = 'first'").select("id", F.col("modal").alias("a")).join(own.filter("s = 'second'").select("id", F.col("modal").alias("b")), "id").select(F.lit("between").alias("g"), "a", "b")
     return val.adjusted_rand(paths.against(types, base).unionByName(both)).withColumnRenamed("g", "pair")
@@ -226,7 +231,7 @@ def self_check(spark, d):
 def json_document(spark, d):
     """The nested document of types and entities."""
     vecs = _vecs(spark, d)
-    types = _base(vecs, _graph(vecs)).select(F.col("id").alias("entity"), "t", "type").persist()
+    types = _base(vecs, _graph(vecs)).select(F.col("id").alias("entity"), "t", "type")
     summary = lab.entity_summary(types).join(lab.label_paths(types), "entity").select(F.col("entity").alias("id"), "modal", F.round("share", 3).alias("share"), "n_changes", "path")
     kinds = lab.core_table(lab.entity_summary(types)).select(F.col("modal").alias("id"), "n", F.round("mean_share", 3).alias("share"))
     months = [f"{1996 + m // 12}-{m % 12 + 1:02d}" for m in range(N_PERIODS)]

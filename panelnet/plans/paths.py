@@ -14,6 +14,7 @@ from panelnet.operators import clustering as clu
 from panelnet.operators import labels as lab
 from panelnet.operators import network as net
 from panelnet.operators import validity as val
+from panelnet.storage import saved
 
 SPAN = 4096
 
@@ -46,7 +47,7 @@ def path(vecs: DataFrame, edges: DataFrame, k: int, alpha: Column, n_periods: in
     """(s, t, id, type): smooth, cluster every period, hand names on."""
     s = smoothed(edges, alpha, n_periods).withColumn("g", _key())
     nodes = vecs.withColumn("g", _key()).select("g", "id", "v")
-    return clu.handed_on(_split(clu.spectral(nodes, s, k, seed, assign)), k)
+    return clu.handed_on(saved(_split(clu.spectral(nodes, s, k, seed, assign))), k)
 
 
 def modal_types(types: DataFrame) -> DataFrame:
@@ -77,9 +78,9 @@ def subsamples(vecs: DataFrame, share: float, repeats: int, seed: int = 42) -> D
 
 def subsample_stability(vecs: DataFrame, base: DataFrame, k: int, knn_k: int, alpha: float, n_periods: int, share: float = 0.8, repeats: int = 20) -> tuple[DataFrame, DataFrame]:
     """ARI of each repeat with the base types, and a summary of the best Jaccard similarities of each base type."""
-    part = subsamples(vecs, share, repeats)
+    part = saved(subsamples(vecs, share, repeats))
     types = path(part, knn(part, knn_k), k, F.lit(alpha), n_periods)
-    pairs = against(types, base)
+    pairs = saved(against(types, base))
     j = val.best_jaccard(pairs).groupBy(F.col("a").alias("type")).agg(F.avg("jaccard").alias("mean"), F.min("jaccard").alias("least"), F.avg((F.col("jaccard") >= 0.75).cast("double")).alias("often"))
     return val.adjusted_rand(pairs), j.withColumn("verdict", val.verdict(F.col("mean")))
 
@@ -87,13 +88,13 @@ def subsample_stability(vecs: DataFrame, base: DataFrame, k: int, knn_k: int, al
 def k_choice(vecs: DataFrame, mean_edges: DataFrame, ks: list[int], share: float = 0.8, repeats: int = 30) -> DataFrame:
     """(k, ari_mean, ari_least, worst_jaccard, min_size): agreement of the clusters of subgraphs of the mean graph with those of the whole."""
     nodes = vecs.select("id").distinct().withColumn("v", F.array(F.lit(0.0)))
-    drawn = subsamples(nodes.select("id", "v", F.lit(0).alias("t")), share, repeats).select("s", "id", "v")
-    inside = mean_edges.join(drawn.select("s", F.col("id").alias("src")), "src").join(drawn.select("s", F.col("id").alias("dst")), ["s", "dst"])
+    drawn = saved(subsamples(nodes.select("id", "v", F.lit(0).alias("t")), share, repeats).select("s", "id", "v"))
+    inside = saved(mean_edges.join(drawn.select("s", F.col("id").alias("src")), "src").join(drawn.select("s", F.col("id").alias("dst")), ["s", "dst"]))
     out = []
     for k in ks:
         full = clu.spectral(nodes.withColumn("g", F.lit("all")), mean_edges.withColumn("g", F.lit("all")), k).select("id", F.col("label").alias("a"))
         part = clu.spectral(drawn.withColumn("g", F.col("s")), inside.withColumn("g", F.col("s")), k)
-        pairs = part.join(full, "id").select("g", "a", F.col("label").alias("b"))
+        pairs = saved(part.join(full, "id").select("g", "a", F.col("label").alias("b")))
         ari = val.adjusted_rand(pairs).agg(F.avg("ari").alias("ari_mean"), F.min("ari").alias("ari_least"))
         worst = val.best_jaccard(pairs).groupBy("g").agg(F.min("jaccard").alias("j")).agg(F.avg("j").alias("worst_jaccard"))
         size = full.groupBy("a").count().agg(F.min("count").alias("min_size"))
