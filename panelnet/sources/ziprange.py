@@ -3,7 +3,7 @@
 Only the archive's directory and the wanted members are fetched. The archive may be on a server that answers
 range requests, or any file. One member is one partition: its compressed stream has no inner starting points.
 
-    spark.dataSource.register(ZipRangeSource)
+    register(spark)
     spark.read.format("zip_range").option("urls", "https://a/x.zip https://b/x.zip").option("member", "Y48112027") \\
         .schema("year string, level string, value string").load()
 """
@@ -177,3 +177,9 @@ class ZipRangeSource(DataSource):
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _Reader(schema, self.options)
+
+
+def register(spark) -> None:
+    """Makes the format known to the session and lets Spark push filters into it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(ZipRangeSource)
