@@ -73,13 +73,13 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     docs = docs.drop("n_lines", "n_removed")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null and text is not null")
     gone = F.explode(F.sequence("begin", "end"))
-    lost = repeated_runs(texts, min_words).select("doc_id", gone.alias("pos")).groupBy("doc_id").agg(F.collect_set("pos").alias("_gone"))
-    out = docs.withColumn("_id", F.col(id_col).cast("long")).join(lost.withColumnRenamed("doc_id", "_id"), "_id", "left")
+    lost = repeated_runs(texts, min_words).select("doc_id", gone.alias("pos")).groupBy("doc_id").agg(F.collect_set("pos").alias("__panelnet_gone"))
+    out = docs.withColumn("__panelnet_id", F.col(id_col).cast("long")).join(lost.withColumnRenamed("doc_id", "__panelnet_id"), "__panelnet_id", "left")
     lines = F.split(F.col(text_col), "\n")
-    mask = F.map_from_entries(F.transform("_gone", lambda p: F.struct(p, F.lit(True))))
-    out = out.withColumn("_mask", mask)
-    kept = F.filter(lines, lambda _, i: F.try_element_at("_mask", i).isNull())
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    mask = F.map_from_entries(F.transform("__panelnet_gone", lambda p: F.struct(p, F.lit(True))))
+    out = out.withColumn("__panelnet_mask", mask)
+    kept = F.filter(lines, lambda _, i: F.try_element_at("__panelnet_mask", i).isNull())
+    text = F.when(F.col("__panelnet_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    out = out.withColumns({"n_lines": F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n_lines).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), text_col: text})
+    out = out.withColumns({"n_lines": F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n_lines).cast("long"), "n_removed": F.coalesce(F.size("__panelnet_gone"), F.lit(0)).cast("long"), text_col: text})
     return out.select(*docs.columns, "n_lines", "n_removed")

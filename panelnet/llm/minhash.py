@@ -160,10 +160,9 @@ def _binary(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in column), np.uint8).reshape(-1, width)
 
 
-def _near_pairs(sig: np.ndarray, n: np.ndarray, mine: np.ndarray, near: Near) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _near_pairs(sig: np.ndarray, n: np.ndarray, mine: np.ndarray, cross: bool, near: Near) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, slots that agree) of the pairs of a cell that may link: pairs across its two blocks, or within its only one."""
     left, right = np.flatnonzero(mine), np.flatnonzero(~mine)
-    cross = len(right) > 0
     least = (near.percent / 100 - near.margin) * near.slots
     for at, i in enumerate(left):
         other = right if cross else left[at + 1 :]
@@ -178,7 +177,7 @@ def _candidates(near: Near):
         ids, n = table["id"].to_numpy(), table["n_shingles"].to_numpy()
         sig = _binary(table["sig"], near.slots)
         forest, a, b = _Forest(len(ids)), [], []
-        for left, right, _ in _near_pairs(sig, n, table["block"].to_numpy() == key[1].as_py(), near):
+        for left, right, _ in _near_pairs(sig, n, table["block"].to_numpy() == key[1].as_py(), key[1].as_py() != key[2].as_py(), near):
             for i, j in zip(left.tolist(), right.tolist(), strict=True):
                 if forest.join(i, j):
                     a.append(ids[i])
@@ -194,7 +193,7 @@ def _links(near: Near):
         sig = _binary(table["sig"], near.slots)
         sets = [np.frombuffer(x.as_py(), U) for x in table["shingles"]]
         n = np.array([len(x) for x in sets])
-        found = [np.concatenate(x) for x in zip(*_near_pairs(sig, n, table["block"].to_numpy() == key[1].as_py(), near), strict=True)]
+        found = [np.concatenate(x) for x in zip(*_near_pairs(sig, n, table["block"].to_numpy() == key[1].as_py(), key[1].as_py() != key[2].as_py(), near), strict=True)]
         if found:
             order = np.argsort(-found[2], kind="stable")  # likely links first: the pairs that they join need no comparison
             for i, j in zip(found[0][order].tolist(), found[1][order].tolist(), strict=True):

@@ -111,7 +111,7 @@ def _compare(close: Close):
         keys = np.stack([np.frombuffer(b.as_py(), np.uint32) for b in table["keys"]])[:, :band]
         mine = table["block"].to_numpy() == key[1].as_py()
         left, right = np.flatnonzero(mine), np.flatnonzero(~mine)
-        cross = len(right) > 0
+        cross = key[1].as_py() != key[2].as_py()
         if not cross:
             right = left
         size = x.shape[1]
