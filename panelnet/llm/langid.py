@@ -234,7 +234,7 @@ def _spans(text: np.ndarray, first: np.ndarray, path: np.ndarray, langs: tuple[s
     new[1:] = (path[1:] != path[:-1]) | (text[1:] != text[:-1])
     at = np.flatnonzero(new)
     rows: list[list] = [[] for _ in range(len(first) - 1)]
-    for t, a, b in zip(text[at].tolist(), at.tolist(), [*at[1:].tolist(), len(path)], strict=True):
+    for t, a, b in zip(text[at].tolist(), at.tolist(), np.append(at, len(path))[1:].tolist(), strict=True):
         rows[t].append({"lang": langs[path[a]] if langs else UNKNOWN, "begin": a - int(first[t]), "words": b - a, "letters": int(letters[a:b].sum())})
     return pa.array(rows, pa.list_(pa.struct([("lang", pa.string()), ("begin", pa.int64()), ("words", pa.int64()), ("letters", pa.int64())])))
 

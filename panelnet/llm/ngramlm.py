@@ -172,7 +172,9 @@ class Filter:
         """The counts read for the n-grams, 0 where the first level is missing."""
         level, going = np.zeros(len(key), np.int64), np.arange(len(key))
         begin = self.part(key) * self.width
-        while len(going):
+        for _ in range(int(self.model.level(np.array([2.0**62]))[0])):
+            if not len(going):
+                break
             at, own = going, level[going] + 1
             for place in self.places(key[going], own, self.model, self.width):
                 bit = begin[at] + place
@@ -245,7 +247,7 @@ def _score(model: Model, exact, filter_, n_train: int, n_words: int):
                 rare_at = np.searchsorted(rare_first, np.arange(len(n) + 1)).astype(np.int32)
                 pairs = pa.ListArray.from_arrays(pa.array(rare_at), pa.StructArray.from_arrays([pa.array(rare_key.view(np.int64)), pa.array(rare_tf.astype(np.int64))], ["key", "tf"]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(np.bincount(owner, kept, len(n)).astype(np.int64)), pa.array(base_sum), pa.array(score), pairs],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(np.bincount(owner, kept, len(n)).astype(np.int64)), pa.array(base_sum.astype(np.float64)), pa.array(score.astype(np.float64)), pairs],
                     ["doc_id", "n_tokens", "n_sure", "base_sure", "score", "rare"],
                 )
 
