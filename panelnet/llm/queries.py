@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelnet.llm import bpe, chat, langid, linededup, minhash, mixing, ngramlm, quality, sharding, vectors
+from panelnet.llm import bpe, chat, langid, linededup, minhash, mixing, ngramlm, oracles, quality, sharding, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -92,4 +92,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Signatures, samples, packings, merges and fitted models have no SQL; tests hold those queries against brute force."""
+    return {"op2_line_dedup": oracles.OP2, "op7_embedding_near_dedup": oracles.OP7, "op9_chat_formatting": oracles.OP9}
