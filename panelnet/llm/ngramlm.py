@@ -160,9 +160,10 @@ class Filter:
     def places(key: np.ndarray, level: np.ndarray, model: Model, width: int) -> Iterator[np.ndarray]:
         """For each probe the entry's bit within its stretch."""
         h = mix(key + level.astype(U) * GOLDEN)
-        with np.errstate(over="ignore"):
-            for i in range(model.probes):
-                yield ((mix(h + step(i + 1)) >> U(32)) * U(width) >> U(32)).astype(np.int64)
+        at, stride = (h >> U(32)) % U(width), (h & U(0xFFFFFFFF)) % U(width - 1) + U(1)
+        for _ in range(model.probes):
+            yield at.astype(np.int64)
+            at = (at + stride) % U(width)
 
     @staticmethod
     def part(key: np.ndarray) -> np.ndarray:
