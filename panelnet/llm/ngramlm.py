@@ -31,6 +31,7 @@ from panelnet.llm.textkernel import GOLDEN, PLACE, U, mix, releasing, slices, st
 
 END = int(mix(np.array([97], U))[0])
 PARTS = 64
+LEAST_BYTES = 1 << 11  # of a stretch: a few n-grams with many levels must not fill it
 FLUSH = 1 << 22
 
 
@@ -294,7 +295,7 @@ def score_texts(docs: DataFrame, training: Column, model: Model = Model(), id_co
     grams = grams.unionByName(kept.select("key", "count", F.lit(2).alias("kind")))
     grams = saved(grams.unionByName(kept.groupBy("head").agg(F.sum("count").alias("count")).select(F.col("head").alias("key"), "count", F.lit(3).alias("kind"))))
     used = grams.agg(F.sum(entries)).first()[0] or 0
-    width = 8 * max(8, math.ceil(used * model.bits_per_entry / PARTS / 8))
+    width = 8 * max(LEAST_BYTES, math.ceil(used * model.bits_per_entry / PARTS / 8))
 
     def entry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
