@@ -187,6 +187,21 @@ class Filter:
         return self.model.value(level)
 
 
+@releasing
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_pydict({"keys": pa.array([b.column(0).to_numpy().tobytes()], pa.binary()), "counts": pa.array([b.column(1).to_numpy().tobytes()], pa.binary())})
+
+
+def _sorted_table(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The keys, sorted, and counts of a table of bounded size, brought to the driver as packed bytes."""
+    rows = counts.select("key", "count").mapInArrow(_pack, "keys binary, counts binary").collect()
+    key = np.frombuffer(b"".join(r["keys"] for r in rows), np.int64).view(U)
+    count = np.frombuffer(b"".join(r["counts"] for r in rows), np.int64)
+    order = np.argsort(key)
+    return key[order], count[order]
+
+
 def _fill(model: Model, width: int):
     def part(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         grams, levels = table["key"].to_numpy().view(U), table["level"].to_numpy()
@@ -281,7 +296,7 @@ def score_texts(docs: DataFrame, training: Column, model: Model = Model(), id_co
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
 
     often = _least(counts, model.frequent_words, F.lit(1))
-    frequent = np.sort(np.array([r["key"] for r in counts.filter(F.col("count") >= often).select("key").collect()], np.int64).view(U))
+    frequent = _sorted_table(counts.filter(F.col("count") >= often))[0]
     sent = spark.sparkContext.broadcast(frequent.tobytes())
     bigrams = train.mapInArrow(_count_bigrams(sent), "key long, count long, head long").groupBy("key").agg(F.sum("count").alias("count"), F.first("head").alias("head"))
     bigrams = saved(bigrams.filter(F.col("count") >= model.least_bigram))
@@ -310,10 +325,8 @@ def score_texts(docs: DataFrame, training: Column, model: Model = Model(), id_co
     for r in parts.collect():
         bits[r["part"]] = np.frombuffer(r["bits"], np.uint8)
     least = _least(counts, model.exact_words, F.lit(1))
-    top = counts.filter(F.col("count") >= least).toPandas().to_numpy().reshape(-1, 2)
-    top_keys = np.ascontiguousarray(top[:, 0]).view(U)
-    order = np.argsort(top_keys)
-    exact = spark.sparkContext.broadcast((top_keys[order], top[order, 1].astype(np.float64), frequent))
+    keys, top = _sorted_table(counts.filter(F.col("count") >= least))
+    exact = spark.sparkContext.broadcast((keys, top.astype(np.float64), frequent))
     filled = spark.sparkContext.broadcast(bits.ravel())
 
     scored = texts.select("doc_id", "text").mapInArrow(_score(model, exact, filled, total["n"], total["v"]), "doc_id long, n_tokens long, n_sure long, base_sure double, score double, rare array<struct<key:long,tf:long>>")
