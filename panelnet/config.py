@@ -54,6 +54,7 @@ class Network:
     rules: tuple[str, ...] = ("cosine", "corr", "lag")
     window: int = 12
     max_lag: int = 2
+    geo_type: str = "highway"
 
     def __post_init__(self):
         if unknown := set(self.rules) - {"cosine", "corr", "geo", "lag"}:
@@ -66,17 +67,25 @@ class Dynamics:
     alpha: float = 0.5
     event_share: float = 0.3
     seed: int = 42
+    methods: tuple[str, ...] = ("kmeans", "louvain", "spectral", "ward_net")
+    subsample_share: float = 0.8
+    subsample_repeats: int = 20
 
 
 @dataclass(frozen=True)
 class Pipeline:
     facts: str = ""
     static: str | None = None
+    connection: str | None = None
     out: str = ""
     panel: Panel = field(default_factory=Panel)
     network: Network = field(default_factory=Network)
     dynamics: Dynamics = field(default_factory=Dynamics)
 
+    def __post_init__(self):
+        if "geo" in self.network.rules and not self.connection:
+            raise ValueError("the geo rule needs a table of distances in connection")
+
     @staticmethod
     def of(values: dict[str, Any]) -> Pipeline:
         parts = {"panel": Panel, "network": Network, "dynamics": Dynamics}

@@ -1,4 +1,4 @@
-"""The steps in order over one session: panel, network, types, dynamics. Each step's tables are written before the next begins.
+"""The steps in order over one session: panel, network, clusters, types, dynamics, profiles, stability. Each step's tables are written before the next begins.
 
     python -m panelnet.plans.pipeline config.yaml --from network --to dynamics
 """
@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 
 from panelnet import config
 from panelnet.functions.columns import month_of
+from panelnet.operators import clustering as clu
 from panelnet.operators import labels as lab
 from panelnet.operators import network as net
 from panelnet.operators import panel as pan
+from panelnet.operators import profiles as pro
+from panelnet.operators import validity as val
 from panelnet.plans import export, paths
 from panelnet.sources.tables import load_table, without_nan
+from panelnet.storage import saved
 
 
 def panel(spark: SparkSession, c: config.Pipeline) -> dict[str, DataFrame]:
@@ -64,11 +68,28 @@ def network(spark: SparkSession, c: config.Pipeline) -> dict[str, DataFrame]:
         pairs = net.undirected(net.lag_similarity(net.lagged_series(net.changes(feat, moving), moving), c.network.max_lag)).withColumn("t", F.lit(0))
         best = net.ranked(pairs, max(ks))
         out += [net.symmetric(best, k).select(F.lit("lag").alias("rule"), F.lit(k).alias("k"), "*") for k in ks]
+    if "geo" in c.network.rules:
+        members = feat.select(F.col("entity").cast("long").alias("entity")).distinct()
+        dist = saved(net.distances(load_table(spark, c.connection), c.network.geo_type, members))
+        out += [net.symmetric(net.ranked(net.geo_similarity(dist, k), k)).select(F.lit("geo").alias("rule"), F.lit(k).alias("k"), "*") for k in ks]
     while len(out) > 1:
         out[:2] = [out[0].unionByName(out[1])]
     return {"edges": out[0]}
 
 
+def clusters(spark: SparkSession, c: config.Pipeline) -> dict[str, DataFrame]:
+    """Labels of every method on the cosine graph of every period, and their indices; the edges' rule decides the graph."""
+    feat, columns, _ = _features(spark, c)
+    points = saved(net.vectors(feat, columns).select(F.col("t").cast("string").alias("g"), "id", "v"))
+    all_edges = spark.read.parquet(f"{c.out}/edges").filter("rule = 'cosine'")
+    graphs = {f"cosine_k{k}": all_edges.filter(F.col("k") == k).select(F.col("t").cast("string").alias("g"), "src", "dst", "w") for k in sorted({c.network.k, c.network.k_alt})}
+    labels, edges = map(saved, clu.run_matrix(points, graphs, list(c.dynamics.methods), c.dynamics.n_clusters, f"cosine_k{c.network.k}", c.dynamics.seed))
+    key = F.concat_ws("#", "config", "g").alias("g")
+    scored = val.bundle(saved(labels.join(points, ["g", "id"]).select(key, "id", "v", "label")), edges.select(key, "src", "dst", "w"))
+    parts = F.split("g", "#")
+    return {"cluster_labels": labels, "indices": scored.select(parts[0].alias("config"), parts[1].cast("int").alias("t"), *(x for x in scored.columns if x != "g"))}
+
+
 def types(spark: SparkSession, c: config.Pipeline) -> dict[str, DataFrame]:
     feat, columns, n = _features(spark, c)
     vecs = net.vectors(feat, columns).select(F.lit("base").alias("s"), "t", "id", "v")
@@ -85,7 +106,23 @@ def dynamics(spark: SparkSession, c: config.Pipeline) -> dict[str, DataFrame]:
     return {"summary": lab.entity_summary(labels), "transitions": lab.transitions(labels, kinds), "sizes": lab.type_sizes(labels, kinds), "changes": lab.change_rate(labels), "events": events}
 
 
-STEPS = {"panel": panel, "network": network, "types": types, "dynamics": dynamics}
+def profiles(spark: SparkSession, c: config.Pipeline) -> dict[str, DataFrame]:
+    feat, columns, _ = _features(spark, c)
+    typed = feat.join(spark.read.parquet(f"{c.out}/labels"), ["entity", "t"])
+    measured = pro.centre_distance(typed, spark.read.parquet(f"{c.out}/summary").drop("n_types"), columns)
+    return {"type_profiles": pro.type_profiles(typed, columns), "exemplars": pro.exemplars(measured), "boundary_cases": pro.boundary_cases(measured)}
+
+
+def stability(spark: SparkSession, c: config.Pipeline) -> dict[str, DataFrame]:
+    feat, columns, n = _features(spark, c)
+    vecs = saved(net.vectors(feat, columns).select(F.lit("base").alias("s"), "t", "id", "v"))
+    base = saved(lab.modal_latest(spark.read.parquet(f"{c.out}/labels")).select(F.col("entity").cast("long").alias("id"), F.col("modal").alias("base")))
+    d = c.dynamics
+    ari, jaccard = paths.subsample_stability(vecs, base, d.n_clusters, c.network.k, d.alpha, n, d.subsample_share, d.subsample_repeats)
+    return {"stability_ari": ari, "stability_types": jaccard}
+
+
+STEPS = {"panel": panel, "network": network, "clusters": clusters, "types": types, "dynamics": dynamics, "profiles": profiles, "stability": stability}
 
 
 def run(spark: SparkSession, c: config.Pipeline, first: str | None = None, last: str | None = None) -> list[str]:

@@ -53,6 +53,8 @@ def test_codes_fall_back_and_ambiguous_ones_are_not_used(spark):
 def test_configuration_is_checked():
     with pytest.raises(ValueError, match="has no"):
         config.Pipeline.of({"panel": {"colour": 1}})
+    with pytest.raises(ValueError, match="geo rule"):
+        config.Pipeline.of({"network": {"rules": ["geo"]}})
     with pytest.raises(ValueError, match="long or wide"):
         config.Panel(format="tall")
 
@@ -61,11 +63,14 @@ def test_pipeline_from_facts_to_events(spark, tmp_path):
     rows = [(e, date(2023, m, 1), c, float((e * 7 + m * (3 if e % 2 else 1) + k) % 11 + 1)) for e in range(1, 25) for m in range(1, 7) for k, c in enumerate(("food", "home", "all"))]
     rows = [(e, m, c, v + (40 if c == "all" else 0)) for e, m, c, v in rows]
     spark.createDataFrame(rows, "entity long, month date, category string, value double").write.parquet(str(tmp_path / "facts.parquet"))
-    c = config.Pipeline.of({"facts": str(tmp_path / "facts.parquet"), "out": str(tmp_path / "out"), "panel": {"total_category": "all"}, "network": {"k": 4, "k_alt": 6, "window": 3, "max_lag": 1}, "dynamics": {"n_clusters": 3}})
-    assert pipeline.run(spark, c) == ["panel", "network", "types", "dynamics"]
+    c = config.Pipeline.of({"facts": str(tmp_path / "facts.parquet"), "out": str(tmp_path / "out"), "panel": {"total_category": "all"}, "connection": str(tmp_path / "roads.parquet"), "network": {"k": 4, "k_alt": 6, "window": 3, "max_lag": 1, "rules": ["cosine", "corr", "geo", "lag"]}, "dynamics": {"n_clusters": 3, "subsample_repeats": 2}})
+    roads = [(a, b, "highway", float(abs(a - b))) for a in range(1, 25) for b in range(a + 1, 25)]
+    spark.createDataFrame(roads, "x long, y long, type string, distance double").write.parquet(str(tmp_path / "roads.parquet"))
+    assert pipeline.run(spark, c) == ["panel", "network", "clusters", "types", "dynamics", "profiles", "stability"]
+    assert spark.read.parquet(f"{c.out}/indices").count() == 7 * 6 and spark.read.parquet(f"{c.out}/stability_types").count() >= 1
     labels = spark.read.parquet(f"{c.out}/labels")
     assert labels.count() == 24 * 6 and {r.type for r in labels.collect()} <= {1, 2, 3}
-    assert {r.rule for r in spark.read.parquet(f"{c.out}/edges").select("rule").distinct().collect()} == {"cosine", "corr", "lag"}
+    assert {r.rule for r in spark.read.parquet(f"{c.out}/edges").select("rule").distinct().collect()} == {"cosine", "corr", "geo", "lag"}
     text = export.report("Types", [("Sizes", spark.read.parquet(f"{c.out}/sizes")), ("Note", "none")])
     assert text.startswith("# Types\n\n## Sizes\n\n| t | n_1") and "none" in text
     export.export_csv(labels, str(tmp_path / "l.csv"))
