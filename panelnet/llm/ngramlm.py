@@ -33,6 +33,7 @@ END = int(mix(np.array([97], U))[0])
 PARTS = 64
 LEAST_BYTES = 1 << 11  # of a stretch: a few n-grams with many levels must not fill it
 FLUSH = 1 << 22
+SCORE_BYTES = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -232,8 +233,11 @@ def _score(model: Model, exact, filter_, n_train: int, n_words: int):
         keys, counts, frequent, bits = exact.value[0], exact.value[1], exact.value[2], filter_.value
         table = Filter(bits, model)
         bottom = n_train + model.a * (n_words + 1)
+        # the most frequent words occur in every slice and have the most levels: their counts are read once
+        read = table.counts(_salted(keys, 1))
+        masses = table.counts(_salted(frequent, 3))
         for batch in batches:
-            for lo, hi, data, offs in slices(batch.column(1)):
+            for lo, hi, data, offs in slices(batch.column(1), SCORE_BYTES):
                 t, first = _tokens(data, offs)
                 n = np.diff(first)
                 owner = np.repeat(np.arange(len(n)), n)
@@ -244,15 +248,17 @@ def _score(model: Model, exact, filter_, n_train: int, n_words: int):
                 kept = sure[where]
                 base_sum = np.bincount(owner[kept], base[where[kept]], len(n))
                 rare_first, rare_key, rare_tf = _rare(owner[~kept], t[~kept])
-                c1 = table.counts(_salted(word, 1))
+                c1 = read[at] if len(read) else np.zeros(len(word))
+                c1[~sure] = table.counts(_salted(word[~sure], 1))
                 p1 = (c1 + model.a) / bottom
                 p = p1[where]
-                often = _find(frequent, word) >= 0
+                head_at = _find(frequent, word)
+                often = head_at >= 0
                 place, pair = _pairs(t, first)
                 headed = often[where[place - 1]]
                 place, pair = place[headed], pair[headed]
                 mass = np.zeros(len(word))
-                mass[often] = np.minimum(table.counts(_salted(word[often], 3)), c1[often])
+                mass[often] = np.minimum(masses[head_at[often]], c1[often])
                 both = often[where[place]]
                 c2 = np.zeros(len(place))
                 gram, of = np.unique(pair[both], return_inverse=True)
