@@ -1,18 +1,17 @@
-"""Scoring texts with a bigram model whose counts live in a log-frequency Bloom filter.
+"""Scoring texts with an interpolated bigram model of exact counts, however many words and bigrams there are.
 
-A count c is kept as the number of its level on a logarithmic scale: the filter holds (n-gram, 1) ... (n-gram, level), and
-probing the levels upwards until one is missing reads a count back, never too low. The filter holds every word from a
-least count on, the counts of bigrams of frequent words, and for each such word the mass of its kept bigrams. The least
-counts are the lowest at which the entries fit the filter's bound, so what is broadcast has a proven size whatever the
-corpus. With counts read from the filter, p1(w) = (c(w) + a) / (N + a (V + 1)) and
+Words and bigrams of all training texts are counted, combined in each task before they are shuffled by hash; bigrams are kept
+from a count of ``least_bigram`` on, whatever their words. With p1(w) = (c(w) + a) / (N + a (V + 1)) and kept(h) the mass of h's kept bigrams
 
     p(w | h) = (c(h, w) + (c(h) - kept(h) + m) p1(w)) / (c(h) + m)
 
-which sums to one over w; h that is not frequent, or a text's first word, gives p1. Counting covers all training texts; words and bigrams
-are combined in each task before they are shuffled by hash.
+which sums to one over w; a text's first word has p1. Its logarithm is a sum of what w has, log p1(w), what h has,
+log (c(h) - kept(h) + m) / (c(h) + m), and for a kept bigram log (1 + c(h, w) / ((c(h) - kept(h) + m) p1(w))). So a text's score is a
+sum over its words and its kept bigrams, each with a value of its own.
 
-Exact unigram scores need exact counts of all words, however many there are: those of the most frequent words, of bounded
-number, are broadcast; every other word of a text is joined with the table of counts.
+The values of the most frequent words and bigrams, of bounded numbers, are broadcast; all others of a text are joined
+with the table of values. A Bloom filter of the other kept bigrams spares the join those that are not kept. Its size is
+bounded: one too full lets more of them through to the join and changes no score.
 """
 
 from __future__ import annotations
@@ -33,12 +32,13 @@ END = int(mix(np.array([97], U))[0])
 PARTS = 64
 LEAST_BYTES = 1 << 11  # of a stretch: a few n-grams with many levels must not fill it
 FLUSH = 1 << 22
+FLUSH_PAIRS = 1 << 21
 SCORE_BYTES = 2 << 20
 
 
 @dataclass(frozen=True)
 class Model:
-    """filter_bits, exact_words, frequent_words: bounds of what is broadcast; base: ratio of neighbouring levels; probes: bits of an entry."""
+    """filter_bits, exact_words, frequent_words: bounds of what is broadcast, 256 bigrams for each frequent word; base: ratio of neighbouring levels; probes: bits of an entry."""
 
     filter_bits: int = 1 << 28
     exact_words: int = 1 << 18
@@ -49,6 +49,10 @@ class Model:
     a: float = 0.1
     m: float = 4.0
 
+    @property
+    def exact_pairs(self) -> int:
+        return 256 * self.frequent_words
+
     @property
     def bits_per_entry(self) -> float:
         return self.probes / math.log(2)
@@ -112,36 +116,30 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(*_combined(keys, counts))
 
 
-def _count_bigrams(frequent):
-    @releasing
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(frequent.value, U)
-        keys, counts, heads, held = [], [], [], 0
-
-        def out() -> pa.RecordBatch:
-            key, where = np.unique(np.concatenate(keys), return_inverse=True)
-            head = np.empty(len(key), U)
-            head[where] = np.concatenate(heads)
-            return _batch(key, np.bincount(where, np.concatenate(counts)).astype(np.int64), head=head.view(np.int64))
+@releasing
+def _count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys, counts, heads, nexts, held = [], [], [], [], 0
 
-        for batch in batches:
-            for _, _, data, offs in slices(batch.column(0)):
-                t, first = _tokens(data, offs)
-                ok = _find(known, t) >= 0
-                at, pair = _pairs(t, first)
-                both = ok[at] & ok[at - 1]
-                key, place, count = np.unique(pair[both], return_index=True, return_counts=True)
-                keys.append(key)
-                counts.append(count)
-                heads.append(t[at[both] - 1][place])
-                held += len(key)
-                if held > FLUSH:
-                    yield out()
-                    keys, counts, heads, held = [], [], [], 0
-        if keys:
-            yield out()
+    def out() -> pa.RecordBatch:
+        key, place, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        head, word = (np.concatenate(x)[place].view(np.int64) for x in (heads, nexts))
+        return _batch(key, np.bincount(where, np.concatenate(counts)).astype(np.int64), head=head, word=word)
 
-    return run
+    for batch in batches:
+        for _, _, data, offs in slices(batch.column(0)):
+            t, first = _tokens(data, offs)
+            at, pair = _pairs(t, first)
+            key, place, count = np.unique(pair, return_index=True, return_counts=True)
+            keys.append(key)
+            counts.append(count)
+            heads.append(t[at[place] - 1])
+            nexts.append(t[at[place]])
+            held += len(key)
+            if held > FLUSH_PAIRS:
+                yield out()
+                keys, counts, heads, nexts, held = [], [], [], [], 0
+    if keys:
+        yield out()
 
 
 def _find(table: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -188,19 +186,34 @@ class Filter:
         return self.model.value(level)
 
 
+    def has(self, key: np.ndarray) -> np.ndarray:
+        """Whether the n-grams' first level is there."""
+        begin, found = self.part(key) * self.width, np.ones(len(key), bool)
+        for place in self.places(key, np.ones(len(key), np.int64), self.model, self.width):
+            bit = begin + place
+            found &= (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+        return found
+
+
 @releasing
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_pydict({"keys": pa.array([b.column(0).to_numpy().tobytes()], pa.binary()), "counts": pa.array([b.column(1).to_numpy().tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().tobytes()], pa.binary()) for c in b.columns], b.schema.names)
 
 
-def _sorted_table(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The keys, sorted, and counts of a table of bounded size, brought to the driver as packed bytes."""
-    rows = counts.select("key", "count").mapInArrow(_pack, "keys binary, counts binary").collect()
-    key = np.frombuffer(b"".join(r["keys"] for r in rows), np.int64).view(U)
-    count = np.frombuffer(b"".join(r["counts"] for r in rows), np.int64)
+def _sorted_table(values: DataFrame, *names: str) -> tuple[np.ndarray, ...]:
+    """The keys, sorted, and the named numbers of a table of bounded size, brought to the driver as packed bytes."""
+    columns = [F.col("key"), *(F.col(x).cast("double") for x in names)]
+    rows = values.select(*columns).mapInArrow(_pack, ", ".join(f"{x} binary" for x in ("key", *names))).collect()
+    key = np.frombuffer(b"".join(r["key"] for r in rows), np.int64).view(U)
     order = np.argsort(key)
-    return key[order], count[order]
+    return key[order], *(np.frombuffer(b"".join(r[x] for r in rows))[order] for x in names)
+
+
+@releasing
+def _salt_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_salted(b.column(0).to_numpy().view(U), 2).view(np.int64)), *b.columns[1:]], b.schema.names)
 
 
 def _fill(model: Model, width: int):
@@ -227,51 +240,43 @@ def _least(counts: DataFrame, room: float, weight: Column) -> int:
     return least if least is not None else 1 << (by[0]["p"] + 1) if by else 1
 
 
-def _score(model: Model, exact, filter_, n_train: int, n_words: int):
+RARE = "array<struct<key:long,tf:long,word:boolean>>"
+
+
+def _score(model: Model, exact, filter_):
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, frequent, bits = exact.value[0], exact.value[1], exact.value[2], filter_.value
-        table = Filter(bits, model)
-        bottom = n_train + model.a * (n_words + 1)
-        # the most frequent words occur in every slice and have the most levels: their counts are read once
-        read = table.counts(_salted(keys, 1))
-        masses = table.counts(_salted(frequent, 3))
+        keys, base, back, grams, gain = exact.value
+        table = Filter(filter_.value, model)
         for batch in batches:
             for lo, hi, data, offs in slices(batch.column(1), SCORE_BYTES):
                 t, first = _tokens(data, offs)
                 n = np.diff(first)
                 owner = np.repeat(np.arange(len(n)), n)
                 word, where = np.unique(t, return_inverse=True)
-                at = _find(keys, word)
+                at = _find(keys, word)[where]
                 sure = at >= 0
-                base = np.log10((np.where(sure, counts[at] if len(counts) else 0, 0) + model.a) / bottom)
-                kept = sure[where]
-                base_sum = np.bincount(owner[kept], base[where[kept]], len(n))
-                rare_first, rare_key, rare_tf = _rare(owner[~kept], t[~kept])
-                c1 = read[at] if len(read) else np.zeros(len(word))
-                c1[~sure] = table.counts(_salted(word[~sure], 1))
-                p1 = (c1 + model.a) / bottom
-                p = p1[where]
-                head_at = _find(frequent, word)
-                often = head_at >= 0
+                own, at = owner[sure], at[sure]
+                base_sum = np.bincount(own, base[at], len(n))
+                score = base_sum + np.bincount(own, back[at], len(n))
                 place, pair = _pairs(t, first)
-                headed = often[where[place - 1]]
-                place, pair = place[headed], pair[headed]
-                mass = np.zeros(len(word))
-                mass[often] = np.minimum(masses[head_at[often]], c1[often])
-                both = often[where[place]]
-                c2 = np.zeros(len(place))
-                gram, of = np.unique(pair[both], return_inverse=True)
-                c2[both] = table.counts(_salted(gram, 2))[of]
-                head = where[place - 1]
-                c2 = np.minimum(c2, mass[head])
-                p[place] = (c2 + (c1[head] - mass[head] + model.m) * p[place]) / (c1[head] + model.m)
-                score = np.bincount(owner, np.log10(p), len(n))
-                rare_at = np.searchsorted(rare_first, np.arange(len(n) + 1)).astype(np.int32)
-                pairs = pa.ListArray.from_arrays(pa.array(rare_at), pa.StructArray.from_arrays([pa.array(rare_key.view(np.int64)), pa.array(rare_tf.astype(np.int64))], ["key", "tf"]))
+                gram, of = np.unique(_salted(pair, 2), return_inverse=True)
+                at = _find(grams, gram)
+                found = (at >= 0)[of]
+                score += np.bincount(owner[place[found]], gain[at[of[found]]], len(n))
+                ask = at < 0
+                ask[ask] = table.has(gram[ask])
+                ask = ask[of]
+                rare = [_rare(owner[~sure], t[~sure]), _rare(owner[place[ask]], gram[of[ask]])]
+                of_text = np.concatenate([r[0] for r in rare])
+                order = np.argsort(of_text, kind="stable")
+                key, tf = (np.concatenate([r[i] for r in rare])[order] for i in (1, 2))
+                is_word = np.repeat([True, False], [len(r[0]) for r in rare])[order]
+                rare_at = np.searchsorted(of_text[order], np.arange(len(n) + 1)).astype(np.int32)
+                asked = pa.ListArray.from_arrays(pa.array(rare_at), pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array(tf.astype(np.int64)), pa.array(is_word)], ["key", "tf", "word"]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(np.bincount(owner, kept, len(n)).astype(np.int64)), pa.array(base_sum.astype(np.float64)), pa.array(score.astype(np.float64)), pairs],
-                    ["doc_id", "n_tokens", "n_sure", "base_sure", "score", "rare"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(np.bincount(own, minlength=len(n)).astype(np.int64)), pa.array(base_sum.astype(np.float64)), pa.array(score.astype(np.float64)), asked],
+                    ["doc_id", "n_tokens", "n_sure", "base_sure", "score_sure", "rare"],
                 )
 
     return run
@@ -301,46 +306,52 @@ def score_texts(docs: DataFrame, training: Column, model: Model = Model(), id_co
     counts = saved(train.mapInArrow(_count_words, "key long, count long").groupBy("key").agg(F.sum("count").alias("count")))
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
 
-    often = _least(counts, model.frequent_words, F.lit(1))
-    frequent = _sorted_table(counts.filter(F.col("count") >= often))[0]
-    sent = spark.sparkContext.broadcast(frequent.tobytes())
-    bigrams = train.mapInArrow(_count_bigrams(sent), "key long, count long, head long").groupBy("key").agg(F.sum("count").alias("count"), F.first("head").alias("head"))
+    bottom = total["n"] + model.a * (total["v"] + 1)
+
+    bigrams = train.mapInArrow(_count_bigrams, "key long, count long, head long, word long").groupBy("key").agg(F.sum("count").alias("count"), F.first("head").alias("head"), F.first("word").alias("word"))
     bigrams = saved(bigrams.filter(F.col("count") >= model.least_bigram))
-    entries = model.level_column(F.col("count"))
-    room = model.filter_bits / model.bits_per_entry
-    rare_word, rare_pair = _least(counts, room / 2, entries), _least(bigrams, room / 2 - 40 * model.frequent_words, entries)
-    kept = bigrams.filter(F.col("count") >= rare_pair)
-
-    schema = "key long, level long, part int"
-    grams = counts.filter(F.col("count") >= rare_word).select("key", "count", F.lit(1).alias("kind"))
-    grams = grams.unionByName(kept.select("key", "count", F.lit(2).alias("kind")))
-    grams = saved(grams.unionByName(kept.groupBy("head").agg(F.sum("count").alias("count")).select(F.col("head").alias("key"), "count", F.lit(3).alias("kind"))))
-    used = grams.agg(F.sum(entries)).first()[0] or 0
-    width = 8 * max(LEAST_BYTES, math.ceil(used * model.bits_per_entry / PARTS / 8))
+    mass = bigrams.groupBy("head").agg(F.sum("count").alias("kept")).withColumnRenamed("head", "key")
+    held = F.col("count") - F.coalesce("kept", F.lit(0)) + model.m
+    values = counts.join(mass, "key", "left").select("key", "count", held.alias("held"), F.log10((F.col("count") + model.a) / bottom).alias("base"), F.log10(held / (F.col("count") + model.m)).alias("back"))
+    values = saved(values)
+    least = _least(counts, model.exact_words, F.lit(1))
+    often, seldom = values.filter(F.col("count") >= least), values.filter(F.col("count") < least)
+
+    def told(pairs: DataFrame, by: str, what: str) -> DataFrame:
+        """``pairs`` with the word's value: of frequent words from a broadcast, else by a join in which the former's pairs are spread by their own keys."""
+        top = often.select(F.col("key").alias(by), F.col(what).alias("top"))
+        other = seldom.select(F.col("key").alias("other"), F.col(what).alias("found"))
+        pairs = pairs.join(F.broadcast(top), by, "left").withColumn("other", F.when(F.col("top").isNull(), F.col(by)).otherwise(F.col("key")))
+        return pairs.join(other, "other", "left").withColumn(f"{by}_{what}", F.coalesce("top", "found")).drop("top", "other", "found")
+
+    gain = F.log10(1 + F.col("count") / (F.col("head_held") * F.pow(F.lit(10.0), "word_base")))
+    pairs = told(told(bigrams, "head", "held"), "word", "base").select("key", "count", gain.alias("gain"))
+    pairs = saved(pairs.mapInArrow(_salt_pairs, "key long, count long, gain double"))
+    least_pair = _least(pairs, model.exact_pairs, F.lit(1))
+    few = pairs.filter(F.col("count") < least_pair)
 
     def entry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, kind = b.column(0).to_numpy().view(U), b.column(2).to_numpy()
-            salted = np.empty_like(key)
-            for k in (1, 2, 3):
-                salted[kind == k] = _salted(key[kind == k], k)
-            yield pa.RecordBatch.from_pydict({"key": salted.view(np.int64), "level": model.level(b.column(1).to_numpy()), "part": Filter.part(salted).astype(np.int32)})
+            key = b.column(0).to_numpy()
+            yield pa.RecordBatch.from_pydict({"key": key, "level": np.ones(len(key), np.int64), "part": Filter.part(key.view(U)).astype(np.int32)})
 
-    parts = grams.mapInArrow(entry, schema).groupBy("part").applyInArrow(_fill(model, width), "part int, bits binary")
+    size = min(few.count() * model.bits_per_entry, model.filter_bits)
+    width = 8 * max(LEAST_BYTES, math.ceil(size / PARTS / 8))
+    parts = few.select("key").mapInArrow(entry, "key long, level long, part int").groupBy("part").applyInArrow(_fill(model, width), "part int, bits binary")
     bits = np.zeros((PARTS, width // 8), np.uint8)
     for r in parts.collect():
         bits[r["part"]] = np.frombuffer(r["bits"], np.uint8)
-    least = _least(counts, model.exact_words, F.lit(1))
-    keys, top = _sorted_table(counts.filter(F.col("count") >= least))
-    exact = spark.sparkContext.broadcast((keys, top.astype(np.float64), frequent))
+    exact = spark.sparkContext.broadcast((*_sorted_table(often, "base", "back"), *_sorted_table(pairs.filter(F.col("count") >= least_pair), "gain")))
     filled = spark.sparkContext.broadcast(bits.ravel())
 
-    scored = texts.select("doc_id", "text").mapInArrow(_score(model, exact, filled, total["n"], total["v"]), "doc_id long, n_tokens long, n_sure long, base_sure double, score double, rare array<struct<key:long,tf:long>>")
+    scored = texts.select("doc_id", "text").mapInArrow(_score(model, exact, filled), f"doc_id long, n_tokens long, n_sure long, base_sure double, score_sure double, rare {RARE}")
     scored = saved(scored.withColumn("row", F.monotonically_increasing_id()))
-    bottom = total["n"] + model.a * (total["v"] + 1)
-    rare = scored.select("row", F.explode("rare").alias("w")).select("row", F.col("w.key").alias("key"), F.col("w.tf").alias("tf"))
-    rare = rare.join(counts.filter(F.col("count") < least), "key", "left").withColumn("c", F.coalesce("count", F.lit(0)))
-    rare = rare.groupBy("row").agg(F.sum(F.col("tf") * F.log10((F.col("c") + model.a) / bottom)).alias("base_rare"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("n_rare"))
+    rare = scored.select("row", F.explode("rare").alias("w")).select("row", "w.key", "w.tf", "w.word")
+    table = seldom.select("key", F.lit(True).alias("word"), "base", "back").unionByName(few.select("key", F.lit(False).alias("word"), F.lit(0.0).alias("base"), F.col("gain").alias("back")))
+    rare = rare.join(table.withColumn("known", F.lit(1)), ["key", "word"], "left")
+    unknown = F.when(F.col("word"), F.lit(math.log10(model.a / bottom))).otherwise(0.0)
+    base, back = F.coalesce("base", unknown), F.coalesce("back", F.lit(0.0))
+    rare = rare.groupBy("row").agg(F.sum(F.col("tf") * base).alias("base_rare"), F.sum(F.col("tf") * (base + back)).alias("score_rare"), F.sum(F.when(F.col("word") & F.col("known").isNotNull(), F.col("tf")).otherwise(0)).alias("n_rare"))
     out = scored.drop("rare").join(rare, "row", "left")
     return out.select(
         "doc_id",
@@ -348,5 +359,5 @@ def score_texts(docs: DataFrame, training: Column, model: Model = Model(), id_co
         (F.col("n_sure") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
         F.lit(total["n"]).cast("long").alias("train_tokens"),
         (F.col("base_sure") + F.coalesce("base_rare", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score_sure") + F.coalesce("score_rare", F.lit(0.0))).alias("score"),
     )

@@ -2,6 +2,7 @@ import collections
 import hashlib
 import itertools
 import math
+import random
 import re
 import zlib
 
@@ -120,6 +121,31 @@ def test_scores_equal_brute_force(messy, model):
     assert sum(len(x) for x in got.values()) == len(rows)
 
 
+@pytest.mark.parametrize("model", [ngramlm.Model(), ngramlm.Model(exact_words=3, frequent_words=1, filter_bits=1 << 12)])
+def test_bigram_scores_are_exact_for_rare_words(spark, model):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(30) * rng.randrange(30)}" for _ in range(rng.randrange(0, 60)))) for i in range(400)]
+    c, c2 = collections.Counter(), collections.Counter()
+    for i, t in rows:
+        w = [*t.split(), None]
+        if i % 5:
+            c.update(w)
+            c2.update(itertools.pairwise(w))
+    c2 = {p: x for p, x in c2.items() if x > 1}
+    kept = collections.Counter()
+    for (h, _), x in c2.items():
+        kept[h] += x
+    n, v, want = sum(c.values()), len(c), {}
+    for i, t in rows:
+        w = [*t.split(), None]
+        p1 = [(c[x] + 0.1) / (n + 0.1 * (v + 1)) for x in w]
+        want[i] = math.log10(p1[0]) + sum(math.log10((c2.get((h, x), 0) + (c[h] - kept[h] + 4) * p) / (c[h] + 4)) for h, x, p in zip(w, w[1:], p1[1:], strict=False))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in ngramlm.score_texts(docs, F.col("doc_id") % 5 != 0, model).collect()}
+    assert min(c[h] for h, _ in c2) < 10 and len(c2) > 256
+    assert all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+
+
 def test_scores_without_training_and_of_nothing(messy, nothing):
     got = ngramlm.score_texts(messy, F.lit(False)).collect()
     assert all(r.n_known == 0 and math.isclose(r.base_score, r.n_tokens * math.log10(0.1 / 0.1), abs_tol=1e-9) for r in got)
