@@ -18,6 +18,8 @@ from panelnet.llm.storage import saved
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SHARE = 0.5
+#: Similarity 0.8: two sets at the threshold share none of 28 bands of 4 rows with probability 4e-7; the margin is five standard errors.
+NEAR = minhash.Near(percent=80, bands=28, rows=4, margin=0.19)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +38,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of the smallest id; documents without words and null ids stay."""
-    gone = minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    """One document of each group of near duplicates (similarity 0.8 or more) stays, that of the smallest id; documents without words and null ids stay."""
+    gone = minhash.near_duplicates(docs, NEAR).filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 

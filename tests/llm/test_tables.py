@@ -113,6 +113,16 @@ def test_chat_query_on_odd_rows(spark, tmp_path):
     assert got[-7].n_turns == 2 and got[-7].loss_sha256 == sha("</s>[INST] ok [/INST]") and got[3].loss_chars == 50000 and got[2].n_turns == 1
 
 
+def test_near_dedup_stage_links_from_a_similarity_of_0_8(spark):
+    rows = []
+    for i in range(40):
+        w = [f"d{i}w{j}" for j in range(104)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[: 85 + i % 5], "x"]))]  # 100 sets of five words against 81 to 85 and one more
+    rows += [(1000 + k, " ".join([f"e{j}" for j in range(104 - 26 * k)])) for k in range(2)]  # 74 of 100
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {2 * i for i in range(40)} | {1000, 1001}
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(4)
     lines = "\n".join(prose(rng, 15) for _ in range(4))
