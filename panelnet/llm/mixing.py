@@ -4,7 +4,7 @@ A source's target is its part of the budget by weight, at most ``most`` times it
 others by weight until no target is above. Every document is due target / source size copies: the whole part is
 certain, the rest is an inclusion probability p. Documents are ranked by the random odds u / (1 - u) over the
 inclusion odds p / (1 - p), and the first are taken as long as the size still wanted is not exceeded; what then is
-left, less than a document, goes in order of rank to those of the next FILL fitting documents that still fit.
+left goes in order of rank to every later document that still fits, until none does.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ def mix(docs: DataFrame, share: float = 1.0, most: float = 3.0, cycle: tuple[flo
     """(doc_id, source, text_hash, size, source_size, target, copies, taken) for every row: ``copies`` of the row belong to the mix.
 
     size is the text's number of words (null: 0), taken = copies x size. No row is taken more than ``most`` times, rounded up
-    to whole copies of a fractional target; a source's taken words differ from its target by less than the size of one document. A null source is a source of its own, last in order. Reruns agree: the
+    to whole copies of a fractional target; what a source lacks of its target is less than the size of any document that it could still take. A null source is a source of its own, last in order. Reruns agree: the
     random number is a hash of the id, the text and the seed. Equal rows count one by one; null ids are allowed; an empty
     table gives an empty one. The rank's cut is found from sums over 4096 ranges of the rank, then over 4096 ranges of
     the range that holds it; only the rows in the last range are sorted, so a hot source is in no one task.
@@ -79,11 +79,11 @@ def mix(docs: DataFrame, share: float = 1.0, most: float = 3.0, cycle: tuple[flo
     rows = rows.withColumn("coarse", F.least(F.lit(FINE - 1), F.floor(F.col("rank") * FINE)).cast("int"))
     rows = rows.withColumn("fine", F.least(F.lit(FINE - 1), F.floor((F.col("rank") * FINE - F.col("coarse")) * FINE)).cast("int"))
 
-    def cut(sums: DataFrame, by: str, offset: str | None) -> DataFrame:
+    def cut(sums: DataFrame, by: str, offset: str | None, wanted: str = "wanted") -> DataFrame:
         """For each source the range of ``by`` in which the wanted size is reached, and the size before it."""
         upto = Window.partitionBy("key").orderBy(by)
         after = F.sum("sum").over(upto) + (F.col(offset) if offset else F.lit(0))
-        hit = sums.withColumn("after", after).filter("after >= wanted").groupBy("key").agg(F.min(F.struct(by, (F.col("after") - F.col("sum")).alias("before"))).alias("cut"))
+        hit = sums.withColumn("after", after).filter(F.col("after") >= F.col(wanted)).groupBy("key").agg(F.min(F.struct(by, (F.col("after") - F.col("sum")).alias("before"))).alias("cut"))
         return hit.select("key", F.col(f"cut.{by}").alias(f"{by}_cut"), F.col("cut.before").alias(f"{by}_before"))
 
     open_rows = rows.filter("p > 0")
@@ -100,12 +100,43 @@ def mix(docs: DataFrame, share: float = 1.0, most: float = 3.0, cycle: tuple[flo
     clear = rows.filter(~tie).withColumns({"upto": F.lit(None).cast("long"), "extra": (F.col("p") > 0) & F.coalesce(below, F.lit(False))})
     ranked = saved(clear.unionByName(edge))
     rest = ranked.filter("fine_cut is not null").groupBy("key").agg((F.first("wanted") - F.coalesce(F.max(F.when(F.col("extra"), F.col("upto"))), F.first("fine_before"))).alias("rest"))
-    ahead = F.row_number().over(Window.partitionBy("key").orderBy("rank", "doc_id", "text_hash", "row"))
-    spare = ranked.filter("p > 0 and not extra and size > 0").join(rest, "key").filter("size <= rest").withColumn("n", ahead).filter(F.col("n") <= FILL)
-    line = spare.groupBy("key").agg(F.first("rest").alias("rest"), F.array_sort(F.collect_list(F.struct("n", "row", "size"))).alias("line"))
-    start = F.struct(F.col("rest").cast("double").alias("rest"), F.array().cast("array<bigint>").alias("rows"))
-    fill = F.aggregate("line", start, lambda a, d: F.when(d["size"] <= a["rest"], F.struct((a["rest"] - d["size"]).alias("rest"), F.concat(a["rows"], F.array(d["row"])).alias("rows"))).otherwise(a))
-    best = line.select("key", F.explode(fill["rows"]).alias("row"), F.lit(1).alias("best"))
+    order = ["rank", "doc_id", "text_hash", "row"]
+    place = F.struct(*order)
+    spare = ranked.filter("p > 0 and not extra and size > 0").select("key", *order, "size", "coarse", "fine")
+
+    def fitting(state: DataFrame) -> DataFrame:
+        """The documents behind the last one looked at that still fit."""
+        return spare.join(state, "key").filter(F.col("size") <= F.col("rest")).filter(F.col("seen").isNull() | (place > F.col("seen")))
+
+    def filled(state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The next FILL fitting documents one by one: those taken, and what is left."""
+        ahead = fitting(state).withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(*order))).filter(F.col("n") <= FILL)
+        line = ahead.groupBy("key").agg(F.first("rest").alias("rest"), F.max(place).alias("seen"), F.array_sort(F.collect_list(F.struct("n", "row", "size"))).alias("line"))
+        start = F.struct(F.col("rest").cast("double").alias("rest"), F.array().cast("array<bigint>").alias("rows"))
+        fill = F.aggregate("line", start, lambda a, d: F.when(d["size"] <= a["rest"], F.struct((a["rest"] - d["size"]).alias("rest"), F.concat(a["rows"], F.array(d["row"])).alias("rows"))).otherwise(a))
+        after = saved(line.select("key", fill.alias("fill"), "seen"))
+        return after.select("key", F.explode("fill.rows").alias("row")), after.select("key", F.col("fill.rest").alias("rest"), "seen")
+
+    def advanced(state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The fitting documents up to the first that no longer fits, its place found from sums over ranges as above."""
+        ahead = fitting(state)
+        first = cut(ahead.groupBy("key", "rest", "coarse").agg(F.sum("size").alias("sum")), "coarse", None, "rest")
+        near = ahead.join(first, "key").filter("coarse = coarse_cut")
+        second = cut(near.groupBy("key", "rest", "coarse_before", "fine").agg(F.sum("size").alias("sum")), "fine", "coarse_before", "rest")
+        ahead = ahead.join(saved(first.join(second, "key", "left")), "key", "left")
+        tie = F.col("coarse").eqNullSafe(F.col("coarse_cut")) & F.col("fine").eqNullSafe(F.col("fine_cut"))
+        edge = ahead.filter(tie).withColumn("upto", F.col("fine_before") + F.sum("size").over(last)).filter("upto <= rest")
+        clear = ahead.filter(~tie & below).withColumn("upto", F.lit(None).cast("long"))
+        taken = saved(clear.unionByName(edge).select("key", *order, "size", "rest"))
+        after = taken.groupBy("key").agg((F.first("rest") - F.sum("size")).alias("rest"), F.max(place).alias("seen"))
+        return taken.select("key", "row"), saved(after)
+
+    best, state = filled(rest.withColumn("seen", F.lit(None).cast(spare.select(place.alias("x")).schema["x"].dataType)))
+    while not fitting(state).isEmpty():
+        more, state = advanced(state)
+        some, state = filled(state)
+        best = best.unionByName(more).unionByName(some)
+    best = best.withColumn("best", F.lit(1))
     out = ranked.join(best, ["key", "row"], "left")
     copies = F.col("whole") + (F.col("extra") | F.col("best").isNotNull()).cast("long")
     return out.select("doc_id", "source", "text_hash", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

@@ -54,6 +54,14 @@ def test_mix_meets_targets(spark, messy):
     assert mix(messy).count() == messy.count() and mix(messy.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mix_fills_what_a_giant_document_leaves(spark, seed):
+    rows = [(i, "a b c d e", "s") for i in range(4000)] + [(9000, "w " * 10000, "s")] + [(10000 + i, "a b c d e f", "t") for i in range(5000)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), seed=seed).filter("source = 's'").collect()
+    assert got[0].target == 20000 and got[0].source_size == 30000
+    assert sum(r.taken for r in got) > got[0].target - 5
+
+
 def test_packing_balances_all_dimensions():
     rng = np.random.default_rng(2)
     sizes = rng.lognormal(0, 1, (3000, 3))
