@@ -38,9 +38,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (similarity 0.8 or more) stays, that of the smallest id; documents without words and null ids stay."""
-    gone = minhash.near_duplicates(docs, NEAR).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near duplicates (similarity 0.8 or more) stays, that of the smallest id.
+
+    Of rows that repeat an id one stays, the least by text, language, source and n_chars. Documents without words stay, and so do rows with a
+    null id, which no group can name.
+    """
+    told = saved(minhash.near_duplicates(docs, NEAR).filter("doc_id is not null").select("doc_id", "kept"))
+    gone = told.filter("not kept").select("doc_id").distinct()
+    out = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    again = told.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if again.isEmpty():
+        return out
+    again = saved(again)
+    one = out.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
+    return out.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(one.select("doc_id", "row.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

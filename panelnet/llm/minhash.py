@@ -1,16 +1,19 @@
 """Near-duplicate documents by SuperMinHash signatures, banding, exact verification and grouping.
 
-Steps: sketch every whole text; fold texts of equal shingle sets into one representative; bring
-representatives that share a band together in blocks and keep a spanning forest of the pairs whose
-signatures come near the threshold; its components are families; within a family compare full
-shingle sets and keep a spanning forest of true links; its components are the groups. Buckets and
-families of any size are dealt out in pairs of bounded blocks, so that no task holds a whole one, and
-each task returns fewer links than it has rows. No candidate is dropped.
+Steps: sketch every whole text; fold texts of equal shingle sets into one representative; join
+representatives that share a band where their signatures come near the threshold; the components are families;
+within a family compare full shingle sets; the components of the confirmed links are the groups. No candidate is dropped, and a pair
+that confirmed links already join needs no comparison of its own.
+
+Buckets and families of any size are dealt out in bounded blocks, so that no task holds a whole one. A first round compares each
+block within itself and with the key's first block, in proportion to the rows. Only keys of more than two blocks have a second: rows are labelled
+with the components found so far, and those outside a key's largest component are compared with all its blocks. So a dense group costs
+its rows, not their square; what remains quadratic is the part of a bucket that truly falls apart.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelnet.llm.components import components
+from panelnet.llm.components import components, shared_ids
 from panelnet.llm.storage import saved
 from panelnet.llm.textkernel import GOLDEN, U, distinct, mix, releasing, shingles, slices, step, word_hashes, words
 
@@ -40,6 +43,7 @@ class Near:
     margin: float = 0.16
     block_rows: int = 512
     block_shingles: int = 400_000
+    slot_rows: int = 8192
 
     @property
     def slots(self) -> int:
@@ -86,6 +90,12 @@ def superminhash(x: np.ndarray, first: np.ndarray, m: int) -> np.ndarray:
     return best.reshape(n, m)
 
 
+def _set_sums(x: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit numbers that tell sets apart."""
+    sums = [np.concatenate(([U(0)], np.cumsum(mix(x * U(s)), dtype=U))) for s in (3, 5)]
+    return [s[first[1:]] - s[first[:-1]] for s in sums]
+
+
 def _sketcher(near: Near):
     @releasing
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +104,7 @@ def _sketcher(near: Near):
                 w = words(data, offs)
                 x, first = distinct(*shingles(word_hashes(data, w, fold=True), w, near.words))
                 n = np.diff(first)
-                sums = [np.concatenate(([U(0)], np.cumsum(mix(x * U(s)), dtype=U))) for s in (3, 5)]
+                sums = _set_sums(x, first)
                 signed = np.flatnonzero(n * (100 - near.percent) >= near.percent)  # a smaller set links only with its equals
                 part = np.concatenate([x[first[t] : first[t + 1]] for t in signed]) if len(signed) else x[:0]
                 sig = superminhash(part, np.concatenate(([0], np.cumsum(n[signed]))), near.slots)
@@ -109,7 +119,7 @@ def _sketcher(near: Near):
                     [
                         batch.column(0).slice(lo, hi - lo),
                         pa.array(n.astype(np.int64)),
-                        *(pa.array((s[first[1:]] - s[first[:-1]]).view(np.int64)) for s in sums),
+                        *(pa.array(s.view(np.int64)) for s in sums),
                         pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(has * near.bands))).astype(np.int32)), pa.array(band.ravel().view(np.int64))),
                         pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(has * near.slots))).astype(np.int32).tobytes()), pa.py_buffer(byte.tobytes())]),
                     ],
@@ -122,100 +132,116 @@ def _sketcher(near: Near):
 def _setter(near: Near):
     @releasing
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row's shingle set, where it is the one that the row's signature belongs to: a repeated id brings other texts along."""
         for batch in batches:
             for lo, hi, data, offs in slices(batch.column(1)):
                 w = words(data, offs)
                 x, first = distinct(*shingles(word_hashes(data, w, fold=True), w, near.words))
+                own = np.flatnonzero(_set_sums(x, first)[0].view(np.int64) == batch.column(2).slice(lo, hi - lo).to_numpy())
+                kept = np.concatenate([np.arange(first[t], first[t + 1]) for t in own]) if len(own) else np.zeros(0, int)
+                size = np.concatenate(([0], np.cumsum(np.diff(first)[own])))
+                part = batch.slice(lo, hi - lo).take(pa.array(own))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(i).slice(lo, hi - lo) for i in (0, 2, 3, 4)),
-                        pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((first * 8).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())]),
-                    ],
-                    ["id", "family", "blocks", "sig", "shingles"],
+                    [part.column(0), *part.columns[3:], pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer((size * 8).astype(np.int32).tobytes()), pa.py_buffer(x[kept].tobytes())])],
+                    ["id", *batch.schema.names[3:], "shingles"],
                 )
 
     return sets
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
+def _binary(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in column), np.uint8).reshape(-1, width)
 
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        if i == j:
-            return False
-        self.up[max(i, j)] = min(i, j)
-        return True
 
+Confirm = Callable[[int, int], bool]
 
-def _binary(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in column), np.uint8).reshape(-1, width)
 
+def _joined(sig: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray | None, label: np.ndarray, near: Near, confirm: Confirm | None) -> Iterator[tuple[int, int]]:
+    """Links of a spanning forest: pairs of left and right, or within left, whose signatures come near the threshold, the likeliest first.
 
-def _near_pairs(sig: np.ndarray, n: np.ndarray, mine: np.ndarray, cross: bool, near: Near) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, slots that agree) of the pairs of a cell that may link: pairs across its two blocks, or within its only one."""
-    left, right = np.flatnonzero(mine), np.flatnonzero(~mine)
+    A pair that ``label`` shows as joined already is passed over; ``label`` is kept up to date.
+    """
     least = (near.percent / 100 - near.margin) * near.slots
-    for at, i in enumerate(left):
-        other = right if cross else left[at + 1 :]
-        if len(other):
-            same = (sig[other] == sig[i]).sum(axis=1)
-            ok = (same >= least) & near.may_link(n[other], n[i])
-            yield np.full(ok.sum(), i), other[ok], same[ok]
-
-
-def _candidates(near: Near):
-    def cell(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ids, n = table["id"].to_numpy(), table["n_shingles"].to_numpy()
-        sig = _binary(table["sig"], near.slots)
-        forest, a, b = _Forest(len(ids)), [], []
-        for left, right, _ in _near_pairs(sig, n, table["block"].to_numpy() == key[1].as_py(), key[1].as_py() != key[2].as_py(), near):
-            for i, j in zip(left.tolist(), right.tolist(), strict=True):
-                if forest.join(i, j):
-                    a.append(ids[i])
-                    b.append(ids[j])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return cell
-
-
-def _links(near: Near):
-    def cell(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ids, forest, a, b = table["id"].to_numpy(), _Forest(len(table)), [], []
-        sig = _binary(table["sig"], near.slots)
-        sets = [np.frombuffer(x.as_py(), U) for x in table["shingles"]]
-        n = np.array([len(x) for x in sets])
-        found = [np.concatenate(x) for x in zip(*_near_pairs(sig, n, table["block"].to_numpy() == key[1].as_py(), key[1].as_py() != key[2].as_py(), near), strict=True)]
-        if found:
-            order = np.argsort(-found[2], kind="stable")  # likely links first: the pairs that they join need no comparison
-            for i, j in zip(found[0][order].tolist(), found[1][order].tolist(), strict=True):
-                if forest.root(i) != forest.root(j):
-                    both = np.concatenate((sets[i], sets[j]))
-                    both.sort()
-                    shared = int((both[1:] == both[:-1]).sum())
-                    if 100 * shared >= near.percent * (len(both) - shared):
-                        forest.join(i, j)
-                        a.append(ids[i])
-                        b.append(ids[j])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return cell
-
-
-def _cells(df: DataFrame, key: str, blocks) -> DataFrame:
-    """Each row once for every pair of its block and another of its key's ``blocks`` blocks: columns key, lo, hi, block."""
-    df = df.withColumn("n_blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), "n_blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), (F.col("n_blocks") - 1).cast("int")))
-    df = df.withColumn("other", other)
-    return df.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "n_blocks")
+    for at, i in enumerate(left.tolist()):
+        other = left[at + 1 :] if right is None else right
+        other = other[label[other] != label[i]]
+        if not len(other):
+            continue
+        same = (sig[other] == sig[i]).sum(axis=1)
+        ok = (same >= least) & near.may_link(n[other], n[i])
+        for j in other[ok][np.argsort(-same[ok], kind="stable")].tolist():
+            if label[j] != label[i] and (confirm is None or confirm(i, j)):
+                label[label == label[j]] = label[i]
+                yield i, j
+
+
+def _cell(near: Near, exact: bool):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        """The rows of one pair of blocks of a large key, or of many small keys."""
+        lo, hi = key[-2].as_py(), key[-1].as_py()
+        ids, n, block = (table[c].to_numpy() for c in ("id", "n_shingles", "block"))
+        label = np.unique(table["label"].to_numpy(), return_inverse=True)[1]
+        sig, confirm = _binary(table["sig"], near.slots), None
+        if exact:
+            sets = [np.frombuffer(x.as_py(), U) for x in table["shingles"]]
+
+            def confirm(i: int, j: int) -> bool:
+                both = np.concatenate((sets[i], sets[j]))
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum())
+                return 100 * shared >= near.percent * (len(both) - shared)
+
+        found: list[tuple[int, int]] = []
+        if lo != hi:
+            found += _joined(sig, n, np.flatnonzero(block == lo), np.flatnonzero(block != lo), label, near, confirm)
+        else:
+            of = table["key"].to_numpy()
+            order = np.argsort(of, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+                if len(part) > 1:
+                    found += _joined(sig, n, part, None, label, near, confirm)
+        a, b = np.array(found, int).reshape(-1, 2).T
+        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
+
+    return run
+
+
+CELL = ["slot", "lo", "hi"]
+
+
+def _forest(rows: DataFrame, near: Near, exact: bool, slots: int) -> DataFrame:
+    """(a, b): links that join all of ``rows`` (key, id, n_blocks, n_shingles, sig, ...) that share a key and may or do link.
+
+    Small keys are dealt to ``slots`` cells, many in each; keys of several blocks have cells of their own, as the head of this module says.
+    """
+    spread = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
+    cells = lambda df, pairs: df.withColumn("cell", F.explode(pairs)).select(*(c for c in df.columns if c != "n_blocks"), "cell.lo", "cell.hi")
+    pair = lambda lo, hi: F.struct(F.least(lo, hi).cast("int").alias("lo"), F.greatest(lo, hi).cast("int").alias("hi"))
+    own = F.when(F.col("n_blocks") > 1, F.concat(F.lit("k"), F.col("key"))).otherwise(F.concat(F.lit("s"), F.pmod("key", F.lit(slots))))
+    rows = rows.withColumns({"slot": own, "block": spread(F.col("n_blocks"), 7), "label": F.col("id")})
+    zero = F.lit(0)
+    within = F.array(pair(F.col("block"), F.col("block")))
+    first = F.when(F.col("n_blocks") == 1, F.array(pair(zero, zero))).when(F.col("block") > 0, F.concat(within, F.array(pair(zero, F.col("block")))))
+    first = first.otherwise(F.transform(F.sequence(zero, F.col("n_blocks").cast("int") - 1), lambda b: pair(zero, b)))
+    links = saved(cells(rows, first).groupBy(*CELL).applyInArrow(_cell(near, exact), "a long, b long"))
+
+    large = rows.filter("n_blocks > 2")
+    if large.isEmpty():
+        return links
+    done = components(links).select(F.col("node").alias("id"), "component")
+    large = large.drop("label").join(done, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    parts = large.groupBy("key", "label", "n_blocks").agg(F.count("*").alias("n"))
+    parts = parts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.first("n_blocks").alias("blocks")).filter("all > top.n")
+    blocks = lambda n: F.ceil(n * F.col("blocks") / F.col("all"))
+    parts = parts.select("key", F.col("top.label").alias("main"), blocks(F.col("top.n")).alias("m"), blocks(F.col("all") - F.col("top.n")).alias("r"))
+    rest = large.join(parts, "key").withColumn("is_main", F.col("label") == F.col("main"))
+    rest = rest.withColumn("block", F.when(F.col("is_main"), spread(F.col("m"), 9)).otherwise(-1 - spread(F.col("r"), 9)))
+    side = F.col("block")
+    others = F.transform(F.sequence(F.lit(1), F.col("r").cast("int")), lambda x: pair(-x, side))
+    mains = F.transform(F.sequence(zero, F.col("m").cast("int") - 1), lambda x: pair(x, side))
+    rest = rest.withColumn("pairs", F.when(F.col("is_main"), others).otherwise(F.concat(mains, others))).drop("main", "m", "r", "is_main")
+    more = cells(rest, F.col("pairs")).drop("pairs").groupBy(*CELL).applyInArrow(_cell(near, exact), "a long, b long")
+    return links.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,33 +250,43 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id"
     Words are lower-cased (A-Z); sets with 100 x intersection >= percent x union are linked, which full sets
     confirm. component_id is the smallest id that links reach, itself included. A text that is null, empty or
     without words has an empty set and links with nothing; one of fewer words than a shingle has its whole
-    sequence as its only element. Rows that repeat an id count as that document; a null id links with nothing
+    sequence as its only element. Rows that repeat an id are that document: what any of its texts links to belongs to one component, and all its rows
+    have the same component_id and kept; n_shingles is the row's own. A null id links with nothing
     and is kept. Other columns are ignored; an empty table gives an empty one. A text is held whole in
     memory, so its length is bounded by a worker's memory only.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = saved(texts.mapInArrow(_sketcher(near), SKETCH))
     some = sketch.filter("n_shingles > 0 and doc_id is not null")
-    classes = saved(some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id")))
+    key = ["set_a", "set_b", "n_shingles"]
+    classes = saved(some.groupBy(*key).agg(F.min("doc_id").alias("id")))
+    repeated = not some.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    same = saved(shared_ids(some.select("doc_id", *key).join(classes, key), "doc_id", "id")) if repeated else None
     single = some.filter(F.size("bands") > 0).join(classes.select(F.col("id").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi")
-    single = saved(single.dropDuplicates(["doc_id", "set_a", "set_b"]).select(F.col("doc_id").alias("id"), "n_shingles", "bands", "sig"))
-
-    member = single.select("id", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    member = member.join(shared, "bucket").join(single.select("id", "n_shingles", "sig"), "id")
-    cells = _cells(member, "bucket", F.ceil(F.col("size") / near.block_rows)).select("bucket", "lo", "hi", "block", "id", "n_shingles", "sig")
-    likely = cells.groupBy("bucket", "lo", "hi").applyInArrow(_candidates(near), "a long, b long")
-    family = saved(components(likely).select(F.col("node").alias("doc_id"), F.col("component").alias("family")))
-
-    signed = family.join(single.select(F.col("id").alias("doc_id"), "n_shingles", "sig"), "doc_id")
-    load = signed.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / near.block_rows), F.ceil(F.sum("n_shingles") / near.block_shingles)).alias("blocks"))
-    whole = texts.join(signed.join(load, "family"), "doc_id").select("doc_id", "text", "family", "blocks", "sig")
-    sets = whole.mapInArrow(_setter(near), "id long, family long, blocks long, sig binary, shingles binary")
-    cells = _cells(sets, "family", F.col("blocks")).select("family", "lo", "hi", "block", "id", "sig", "shingles")
-    links = cells.groupBy("family", "lo", "hi").applyInArrow(_links(near), "a long, b long")
-    group = components(links).select(F.col("node").alias("id"), "component")
-
-    classes = classes.join(group, "id", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "id").alias("found"))
-    out = sketch.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b", "n_shingles"], "left")
+    if repeated:
+        single = single.dropDuplicates(["doc_id", "set_a", "set_b"])
+    single = saved(single.select(F.col("doc_id").alias("id"), "set_a", "n_shingles", "bands", "sig"))
+
+    member = single.select("id", "set_a", "n_shingles", "sig", F.explode("bands").alias("key"))
+    shared = saved(single.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
+    rows = shared.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    member = member.join(shared, "key").withColumn("n_blocks", F.ceil(F.col("size") / near.block_rows)).drop("size", "set_a")
+    family = saved(components(_forest(member, near, False, 1 + rows // near.slot_rows)).select(F.col("node").alias("id"), F.col("component").alias("key")))
+
+    signed = saved(family.join(single.drop("bands"), "id"))
+    load = signed.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / near.block_rows), F.ceil(F.sum("n_shingles") / near.block_shingles)).alias("n_blocks"))
+    shingles_in_all = signed.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    whole = texts.join(signed.join(load, "key").withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "text", "set_a", "key", "n_blocks", "n_shingles", "sig")
+    if repeated:
+        whole = whole.dropDuplicates(["doc_id", "set_a", "text"])
+    sets = whole.mapInArrow(_setter(near), "id long, key long, n_blocks long, n_shingles long, sig binary, shingles binary")
+    links = _forest(sets, near, True, 1 + shingles_in_all // near.block_shingles)
+    group = components(links if same is None else links.unionByName(same)).select(F.col("node").alias("id"), "component")
+
+    classes = classes.join(group, "id", "left").select(*key, F.coalesce("component", "id").alias("found"))
+    out = sketch.select("doc_id", *key).join(classes, key, "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"))
+    if repeated:  # a row without words goes with the others of its id
+        own = out.filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("least"))
+        out = out.join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("least", "component_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

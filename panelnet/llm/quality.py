@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelnet.llm.storage import saved
-from panelnet.llm.textkernel import BYTE_CODE, SPACE, U, _power, mix, releasing, shingles, slices, step, word_hashes, words
+from panelnet.llm.textkernel import SPACE, U, mix, releasing, run_hashes, shingles, slices, step, word_hashes, words
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_marks", "n_lines")
 SYMBOL = np.zeros(256, bool)
@@ -54,10 +54,7 @@ def counts(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     newline = data[end - 1] == 10 if len(end) else np.zeros(0, bool)
     line_of = np.searchsorted(offs, begin, "right") - 1
     sizes = end - newline - begin
-    up, down = _power(len(data))
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum(BYTE_CODE[data] * up[: len(data)], dtype=U, out=sums[1:])
-    line = mix((sums[begin + sizes] - sums[begin]) * down[begin] + sizes.astype(U))
+    line = run_hashes(data, begin, begin + sizes)
     filled = np.searchsorted(w.start, begin + sizes) > np.searchsorted(w.start, begin)
     lines, owner = line[filled], line_of[filled]
     n_lines = np.bincount(owner, minlength=n_texts)

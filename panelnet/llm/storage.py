@@ -1,5 +1,5 @@
 """Tables in the shared folder; see panelnet.storage."""
 
-from panelnet.storage import saved, shared_folder
+from panelnet.storage import dropped, saved, shared_folder
 
-__all__ = ["saved", "shared_folder"]
+__all__ = ["dropped", "saved", "shared_folder"]

@@ -42,23 +42,9 @@ def stream(seed: int, n: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=U) + U(seed << 32)) * GOLDEN)
 
 
-BYTE_CODE = stream(11, 256)
-FOLDED_CODE = BYTE_CODE[LOWER]
 PLACE = stream(12, 16) | U(1)
-_BASE = U(0xD6E8FEB86659FD93)
-_INVERSE = U(pow(int(_BASE), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, U), "down": np.ones(1, U)}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the hash's base and of its inverse."""
-    if len(_powers["up"]) <= n:
-        size = max(n + 1, SLICE_BYTES + (1 << 18))
-        for key, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, U)
-            steps[0] = 1
-            _powers[key] = np.cumprod(steps, dtype=U)
-    return _powers["up"], _powers["down"]
+_FOLD = LOWER.astype(U)
+_PLAIN = np.arange(256, dtype=U)
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -134,12 +120,24 @@ def words(data: np.ndarray, offs: np.ndarray) -> Words:
     return Words(start, np.flatnonzero(finish) + 1, np.searchsorted(start, offs))
 
 
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = False) -> np.ndarray:
+    """A 64-bit hash of each of the runs of bytes start[i]:end[i], which are in order and do not overlap; with ``fold``, of A-Z lower-cased.
+
+    The sum of a pseudo-random number for every byte and its place in the run, mixed with the length: unlike a polynomial of the bytes
+    modulo a power of two, it has no pairs of runs that collide by their form.
+    """
+    length = end - start
+    base = np.zeros(len(data) + 1, np.int64)  # differences of the running run start
+    base[start[length > 0]] = np.diff(start[length > 0], prepend=0)
+    place = np.arange(len(data)) - np.cumsum(base[:-1])
+    total = np.zeros(len(data) + 1, U)
+    np.cumsum(mix(((place.astype(U) << U(8)) | (_FOLD if fold else _PLAIN)[data]) + GOLDEN), dtype=U, out=total[1:])
+    return mix(total[end] - total[start] + length.astype(U) * GOLDEN)
+
+
 def word_hashes(data: np.ndarray, w: Words, fold: bool) -> np.ndarray:
     """A 64-bit hash of each word; with ``fold``, of the word with A-Z lower-cased."""
-    up, down = _power(len(data))
-    total = np.zeros(len(data) + 1, U)
-    np.cumsum((FOLDED_CODE if fold else BYTE_CODE)[data] * up[: len(data)], dtype=U, out=total[1:])
-    return mix((total[w.end] - total[w.start]) * down[w.start] + (w.end - w.start).astype(U) * GOLDEN)
+    return run_hashes(data, w.start, w.end, fold)
 
 
 def shingles(h: np.ndarray, w: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
