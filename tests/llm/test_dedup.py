@@ -9,6 +9,8 @@ from panelnet.llm.minhash import Near, near_duplicates, superminhash
 from panelnet.llm.textkernel import mix
 from panelnet.llm.vectors import Close, near_vectors
 
+from llm_texts import prose
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -51,6 +53,31 @@ def test_near_duplicates_equal_brute_force(messy):
     assert len(set(want.values())) < len(want) - 20
 
 
+def test_repeated_ids_join_what_their_texts_link_to(spark):
+    rng = random.Random(11)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(1, a), (5, a), (5, b), (9, b), (7, c), (7, ""), (7, c), (20, c)]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == [(1, 1, True), (5, 1, False), (5, 1, False), (7, 7, True), (7, 7, True), (7, 7, True), (9, 1, False), (20, 7, False)]
+    x, y = [1.0, 0.0, 0.2], [0.0, 1.0, 0.2]
+    vectors = spark.createDataFrame([(3, x, 1), (5, x, 1), (5, y, 1), (9, y, 1), (9, x, 2)], "vec_id long, embedding array<double>, label int").repartition(3)
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(vectors).collect())
+    assert got == [(3, 1, 3, True), (5, 1, 3, False), (5, 1, 3, False), (9, 0, 3, False), (9, 1, 3, False)]
+
+
+def test_large_buckets_fall_into_their_groups(spark):
+    """One band of one row puts nearly all texts into a few buckets of many blocks, where several groups and single texts meet."""
+    rng = random.Random(12)
+    base = [[f"g{g}w{j}" for j in range(60)] for g in range(4)]
+    rows = [(i, " ".join([*base[i % 4][: 58], f"x{rng.randrange(300)}", f"y{rng.randrange(300)}"])) for i in range(160)] + [(200 + i, prose(rng, 40)) for i in range(30)]
+    sets = {i: shingles(t) for i, t in rows}
+    want = grouped(sets, [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for near in (Near(block_rows=8, block_shingles=400), Near(bands=60, rows=1, margin=0.4, block_rows=7, block_shingles=600)):
+        assert {r.doc_id: r.component_id for r in near_duplicates(docs, near).collect()} == want
+    assert len(set(want.values())) == 34
+
+
 def test_near_duplicates_of_nothing(nothing):
     assert near_duplicates(nothing).count() == 0
 
