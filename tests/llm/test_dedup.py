@@ -140,6 +140,19 @@ def test_line_dedup_equals_brute_force(spark):
     assert want[104][0] == "" and want[103][1] == 0
 
 
+def test_line_dedup_of_repeated_rows(spark):
+    run = "\n".join(f"line {i} has six words now" for i in range(12))
+    other = "top\n" + run + "\nend"
+    get = lambda rows: sorted((r.doc_id, r.text, r.n_removed) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert get([(1, run), (2, run)]) == [(1, run, 0), (2, "", 12)]
+    assert get([(1, run), (2, run), (2, run)]) == [(1, run, 0), (2, "", 12), (2, "", 12)]
+    assert get([(1, run), (1, run), (2, other)]) == [(1, run, 0), (1, run, 0), (2, "top\nend", 12)]
+    kept = get([(3, run), (3, other)])  # one of two texts of an id comes first, by hash
+    assert [r[2] for r in kept] in ([0, 12], [12, 0]) and {r[1] for r in kept} in ({run, "top\nend"}, {"", other})
+    odd = dedup_lines(spark.createDataFrame([(None, run), (None, run), (1, other)], "doc_id long, text string"))
+    assert {(r.doc_id, r.text, r.n_removed) for r in odd.collect()} == {(None, run, 0), (1, other, 0)} and odd.count() == 3
+
+
 def test_runs_name_their_first_place_and_odd_rows_stay(spark, messy, nothing):
     lines = "\n".join(f"line {i} has six words now" for i in range(20))
     df = spark.createDataFrame([(1, "head\n" + lines), (2, lines + "\ntail"), (3, "x")], "doc_id long, text string")
