@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from panelnet.llm import bpe, langid, linededup, minhash, mixing
 from panelnet.llm.queries import public_vocabulary
@@ -56,13 +55,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, none to three times."""
-    key = ["doc_id", "source", "text_hash"]
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
-    copies = mixing.mix(docs).filter("copies > 0").select(*(F.col(c).alias(f"_{c}") for c in key), "copies").withColumn("_nth", F.row_number().over(Window.partitionBy(*(f"_{c}" for c in key)).orderBy(F.desc("copies"))))
-    rows = docs.select(*COLUMNS).withColumn("text_hash", F.xxhash64("text")).withColumn("nth", nth)
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*key, "nth"]]
-    taken = rows.join(copies, same[0] & same[1] & same[2] & same[3])
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    return mixing.mixed(docs.select(*COLUMNS))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

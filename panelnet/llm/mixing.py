@@ -3,8 +3,12 @@
 A source's target is its part of the budget by weight, at most ``most`` times its size; what is cut off goes to the
 others by weight until no target is above. Every document is due target / source size copies: the whole part is
 certain, the rest is an inclusion probability p. Documents are ranked by the random odds u / (1 - u) over the
-inclusion odds p / (1 - p), and the first are taken as long as the size still wanted is not exceeded; what then is
-left goes in order of rank to every later document that still fits, until none does.
+inclusion odds p / (1 - p), and the first are taken as long as the size still wanted is not exceeded. What a document that
+does not fit leaves goes to the next ones in order of rank that do, and so on, round by round.
+
+All documents of a source have the same p, so the rank grows with u: the cut is found from sums over ranges of u, digit by digit, and then over
+ranges of a hash that tells equal rows apart, until few enough rows are left to be summed one by one. A round's outcome is a row for each source;
+whether a document is taken follows from it and the document's own place, so the texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -16,8 +20,12 @@ from pyspark.sql.window import Window
 from panelnet.llm.storage import saved
 
 WORD = r"[^\x20\x09-\x0D]+"
-FINE = 4096
-FILL = 128
+DIGIT_BITS = 13
+U_DIGITS, DIGITS = 4, 6
+#: Rows of one source that are summed one by one; a range of more is cut finer.
+FEW = 4096
+#: Sources up to this number are broadcast; beyond it they are joined.
+MOST_SENT = 100_000
 
 
 def word_count(text: str) -> Column:
@@ -54,89 +62,120 @@ def cyclic_weights(sources: DataFrame, cycle: tuple[float, ...] = (1.0, 2.0, 3.0
     return sources.withColumn("weight", F.element_at(F.array(*map(F.lit, cycle)), F.pmod(place, F.lit(len(cycle))).cast("int") + 1))
 
 
-def mix(docs: DataFrame, share: float = 1.0, most: float = 3.0, cycle: tuple[float, ...] = (1.0, 2.0, 3.0), seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def _digit(i: int) -> Column:
+    """The i-th digit of a row's place: of u first, then of what tells equal rows apart."""
+    own, at = ("u", i) if i < U_DIGITS else ("v", i - U_DIGITS)
+    return F.shiftright(F.col(own), DIGIT_BITS * (U_DIGITS - 1 - at)).bitwiseAND((1 << DIGIT_BITS) - 1).cast("int")
+
+
+PLACE = ("u", "v", "row")
+
+
+def _placed(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """``docs`` with the columns _key, _size, _text_hash, u, v and row: u is random by id, text and seed, row and its hash v tell equal rows apart."""
+    text_hash = F.xxhash64(F.col(text_col).cast("string"))
+    docs = docs.withColumns({"_key": F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")), "_size": word_count(text_col), "_text_hash": text_hash, "row": F.monotonically_increasing_id()})
+    top = F.lit((1 << DIGIT_BITS * U_DIGITS) - 1)
+    return docs.withColumns({"u": F.xxhash64(F.col(id_col).cast("string"), "_text_hash", "_size", F.lit(seed)).bitwiseAND(top), "v": F.xxhash64("row", F.lit(seed)).bitwiseAND(top)})
+
+
+def _few(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= MOST_SENT else df
+
+
+def _round(rows: DataFrame, state: DataFrame, n_sources: int) -> DataFrame:
+    """(_key, rest, seen, limit): the cut of one round over the rows that fit and lie behind the last one looked at.
+
+    seen: the place of the last document taken; limit: the greatest size that this round takes; rest: what is left then.
+    """
+    place = F.struct(*PLACE)
+    ahead = rows.join(_few(state, n_sources), "_key").filter((F.col("_size") > 0) & (F.col("_size") <= F.col("rest")) & (F.col("seen").isNull() | (place > F.col("seen"))))
+    ahead = ahead.select("_key", "_size", "rest", *PLACE)
+    cuts = state.select("_key", "rest", F.lit(0).cast("double").alias("before"))
+    near, open_ = ahead, True
+    for i in range(DIGITS):
+        sums = near.join(_few(cuts.select("_key", "before"), n_sources), "_key").groupBy("_key", "rest", "before", _digit(i).alias("digit")).agg(F.sum("_size").alias("sum"), F.count("*").alias("n"))
+        upto = Window.partitionBy("_key").orderBy("digit")
+        sums = sums.withColumn("after", F.col("before") + F.sum("sum").over(upto)).withColumn("crosses", F.col("after") > F.col("rest"))
+        hit = sums.groupBy("_key", "rest").agg(
+            F.min(F.when(F.col("crosses"), F.struct("digit", (F.col("after") - F.col("sum")).alias("before"), "n"))).alias("cut"),
+            F.max("after").alias("all"),
+        )
+        cuts = saved(hit.select("_key", "rest", F.col("cut.digit").alias("digit"), F.coalesce("cut.before", "all").alias("before"), F.col("cut.n").alias("n")))
+        near = near.join(_few(cuts.select("_key", "digit"), n_sources), "_key").filter(_digit(i) == F.col("digit")).drop("digit")
+        if (cuts.agg(F.max("n")).first()[0] or 0) <= FEW:
+            break
+    order = Window.partitionBy("_key").orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = near.join(_few(cuts.select("_key", "before"), n_sources), "_key").withColumn("after", F.col("before") + F.sum("_size").over(order))
+    stop = last.filter("after > rest").groupBy("_key").agg(F.min(F.struct(*PLACE, (F.col("after") - F.col("_size")).alias("taken"))).alias("stop"))
+    end = F.struct(*(F.lit((1 << 63) - 1).alias(c) for c in PLACE))
+    out = cuts.join(stop, "_key", "left")
+    seen = F.when(F.col("stop").isNull(), end).otherwise(F.struct(*(F.col(f"stop.{c}").alias(c) for c in PLACE)))
+    return saved(out.select("_key", (F.col("rest") - F.coalesce("stop.taken", "before")).alias("rest"), seen.alias("seen"), F.col("rest").alias("limit")))
+
+
+def _plan(base: DataFrame, share: float, most: float, cycle: tuple[float, ...], near: float) -> tuple[DataFrame, int]:
+    """(a row for each source with source_size, target, whole, cuts; their number): ``base`` has _key, _size, u, v, row."""
+    sizes = base.groupBy("_key").agg(F.sum("_size").alias("source_size")).withColumn("source", F.when(F.col("_key") != "", F.expr("substr(_key, 2)")))
+    source = targets(cyclic_weights(sizes, cycle), share, most).withColumn("_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    source = saved(source.withColumn("due", due).withColumn("whole", F.floor("due")).withColumn("wanted", F.col("target") - F.col("whole") * F.col("source_size")))
+    n = source.count()
+    place = base.select(F.struct(*PLACE).alias("p")).schema["p"].dataType
+    state = source.filter("wanted > 0").select("_key", F.col("wanted").alias("rest"), F.lit(None).cast(place).alias("seen"))
+    target, rounds = source.select("_key", "target"), None
+    while not state.isEmpty():
+        done = _round(base, state, n).withColumn("round", F.lit(0 if rounds is None else len(rounds)))
+        rounds = [done] if rounds is None else [*rounds, done]
+        state = done.join(target, "_key").filter((F.col("rest") >= 1) & (F.col("rest") > near * F.col("target"))).select("_key", "rest", "seen")
+        state = saved(state.join(_few(_fitting(base, state, n), n), "_key", "left_semi"))
+    if rounds:
+        every = rounds[0]
+        for r in rounds[1:]:
+            every = every.unionByName(r)
+        cuts = every.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("round", "seen", "limit"))).alias("cuts"))
+        source = source.join(cuts, "_key", "left")
+    else:
+        source = source.withColumn("cuts", F.lit(None).cast("array<struct<round:int,seen:struct<u:bigint,v:bigint,row:bigint>,limit:double>>"))
+    return saved(source.select("_key", "source_size", "target", "whole", "cuts")), n
+
+
+def _fitting(base: DataFrame, state: DataFrame, n: int) -> DataFrame:
+    """The sources of which a document behind the last one looked at still fits."""
+    rows = base.join(_few(state, n), "_key")
+    return rows.filter((F.col("_size") > 0) & (F.col("_size") <= F.col("rest")) & (F.struct(*PLACE) > F.col("seen"))).select("_key").distinct()
+
+
+def _copies(placed: DataFrame, plan: DataFrame, n: int) -> DataFrame:
+    """``placed`` with source_size, target and copies. A document behind round i's first cut and before its own is taken if it is no larger than the round's limit."""
+    rows = placed.join(_few(plan, n), "_key")
+    place = F.struct(*PLACE)
+    behind = lambda i: (i == 0) | (place > F.get("cuts", i - 1)["seen"])
+    extra = F.exists(F.transform("cuts", lambda c, i: behind(i) & (place < c["seen"]) & (F.col("_size") <= c["limit"])), lambda x: x)
+    return rows.withColumn("copies", F.col("whole") + F.coalesce(extra, F.lit(False)).cast("long")).drop("cuts", "whole")
+
+
+BASE = ("_key", "_size", *PLACE)
+
+
+def mix(docs: DataFrame, share: float = 1.0, most: float = 3.0, cycle: tuple[float, ...] = (1.0, 2.0, 3.0), seed: int = 1, near: float = 1e-3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, text_hash, size, source_size, target, copies, taken) for every row: ``copies`` of the row belong to the mix.
 
     size is the text's number of words (null: 0), taken = copies x size. No row is taken more than ``most`` times, rounded up
-    to whole copies of a fractional target; what a source lacks of its target is less than the size of any document that it could still take. A null source is a source of its own, last in order. Reruns agree: the
+    to whole copies of a fractional target. What a source lacks of its target is less than ``near`` of it, or less than the size of any document that it
+    could still take. A null source is a source of its own, last in order. Reruns agree: the
     random number is a hash of the id, the text and the seed. Equal rows count one by one; null ids are allowed; an empty
-    table gives an empty one. The rank's cut is found from sums over 4096 ranges of the rank, then over 4096 ranges of
-    the range that holds it; only the rows in the last range are sorted, so a hot source is in no one task.
+    table gives an empty one. A hot source is in no one task: its rows meet only in sums.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    base = saved(base.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), word_count("text").alias("size"), F.monotonically_increasing_id().alias("row")))
-    source = saved(targets(cyclic_weights(base.groupBy("source").agg(F.sum("size").alias("source_size")), cycle), share, most))
-    due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    source = source.withColumn("due", due).withColumn("whole", F.floor("due"))
-    source = source.withColumn("p", F.col("due") - F.col("whole")).withColumn("wanted", F.col("target") - F.col("whole") * F.col("source_size"))
-    source = source.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-    per_source = source.select("key", "source_size", "target", "whole", "p", "wanted")
-
-    u = (F.pmod(F.xxhash64("doc_id", "text_hash", "size", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    rows = base.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).join(per_source, "key")
-    odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
-    rows = rows.withColumn("rank", F.when(F.col("p") > 0, odds / (1 + odds)).otherwise(1.0))
-    rows = rows.withColumn("coarse", F.least(F.lit(FINE - 1), F.floor(F.col("rank") * FINE)).cast("int"))
-    rows = rows.withColumn("fine", F.least(F.lit(FINE - 1), F.floor((F.col("rank") * FINE - F.col("coarse")) * FINE)).cast("int"))
-
-    def cut(sums: DataFrame, by: str, offset: str | None, wanted: str = "wanted") -> DataFrame:
-        """For each source the range of ``by`` in which the wanted size is reached, and the size before it."""
-        upto = Window.partitionBy("key").orderBy(by)
-        after = F.sum("sum").over(upto) + (F.col(offset) if offset else F.lit(0))
-        hit = sums.withColumn("after", after).filter(F.col("after") >= F.col(wanted)).groupBy("key").agg(F.min(F.struct(by, (F.col("after") - F.col("sum")).alias("before"))).alias("cut"))
-        return hit.select("key", F.col(f"cut.{by}").alias(f"{by}_cut"), F.col("cut.before").alias(f"{by}_before"))
-
-    open_rows = rows.filter("p > 0")
-    first = cut(open_rows.groupBy("key", "wanted", "coarse").agg(F.sum("size").alias("sum")), "coarse", None)
-    near = open_rows.join(first, "key").filter("coarse = coarse_cut")
-    second = cut(near.groupBy("key", "wanted", "coarse_before", "fine").agg(F.sum("size").alias("sum")), "fine", "coarse_before")
-    cuts = saved(first.join(second, "key", "left"))
-
-    rows = rows.join(cuts, "key", "left")
-    tie = F.col("coarse").eqNullSafe(F.col("coarse_cut")) & F.col("fine").eqNullSafe(F.col("fine_cut"))
-    last = Window.partitionBy("key").orderBy("rank", "doc_id", "text_hash", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = rows.filter(tie).withColumn("upto", F.col("fine_before") + F.sum("size").over(last)).withColumn("extra", (F.col("p") > 0) & (F.col("upto") <= F.col("wanted")))
-    below = F.col("coarse_cut").isNull() | (F.col("coarse") < F.col("coarse_cut")) | ((F.col("coarse") == F.col("coarse_cut")) & (F.col("fine") < F.col("fine_cut")))
-    clear = rows.filter(~tie).withColumns({"upto": F.lit(None).cast("long"), "extra": (F.col("p") > 0) & F.coalesce(below, F.lit(False))})
-    ranked = saved(clear.unionByName(edge))
-    rest = ranked.filter("fine_cut is not null").groupBy("key").agg((F.first("wanted") - F.coalesce(F.max(F.when(F.col("extra"), F.col("upto"))), F.first("fine_before"))).alias("rest"))
-    order = ["rank", "doc_id", "text_hash", "row"]
-    place = F.struct(*order)
-    spare = ranked.filter("p > 0 and not extra and size > 0").select("key", *order, "size", "coarse", "fine")
-
-    def fitting(state: DataFrame) -> DataFrame:
-        """The documents behind the last one looked at that still fit."""
-        return spare.join(state, "key").filter(F.col("size") <= F.col("rest")).filter(F.col("seen").isNull() | (place > F.col("seen")))
-
-    def filled(state: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The next FILL fitting documents one by one: those taken, and what is left."""
-        ahead = fitting(state).withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(*order))).filter(F.col("n") <= FILL)
-        line = ahead.groupBy("key").agg(F.first("rest").alias("rest"), F.max(place).alias("seen"), F.array_sort(F.collect_list(F.struct("n", "row", "size"))).alias("line"))
-        start = F.struct(F.col("rest").cast("double").alias("rest"), F.array().cast("array<bigint>").alias("rows"))
-        fill = F.aggregate("line", start, lambda a, d: F.when(d["size"] <= a["rest"], F.struct((a["rest"] - d["size"]).alias("rest"), F.concat(a["rows"], F.array(d["row"])).alias("rows"))).otherwise(a))
-        after = saved(line.select("key", fill.alias("fill"), "seen"))
-        return after.select("key", F.explode("fill.rows").alias("row")), after.select("key", F.col("fill.rest").alias("rest"), "seen")
-
-    def advanced(state: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The fitting documents up to the first that no longer fits, its place found from sums over ranges as above."""
-        ahead = fitting(state)
-        first = cut(ahead.groupBy("key", "rest", "coarse").agg(F.sum("size").alias("sum")), "coarse", None, "rest")
-        near = ahead.join(first, "key").filter("coarse = coarse_cut")
-        second = cut(near.groupBy("key", "rest", "coarse_before", "fine").agg(F.sum("size").alias("sum")), "fine", "coarse_before", "rest")
-        ahead = ahead.join(saved(first.join(second, "key", "left")), "key", "left")
-        tie = F.col("coarse").eqNullSafe(F.col("coarse_cut")) & F.col("fine").eqNullSafe(F.col("fine_cut"))
-        edge = ahead.filter(tie).withColumn("upto", F.col("fine_before") + F.sum("size").over(last)).filter("upto <= rest")
-        clear = ahead.filter(~tie & below).withColumn("upto", F.lit(None).cast("long"))
-        taken = saved(clear.unionByName(edge).select("key", *order, "size", "rest"))
-        after = taken.groupBy("key").agg((F.first("rest") - F.sum("size")).alias("rest"), F.max(place).alias("seen"))
-        return taken.select("key", "row"), saved(after)
-
-    best, state = filled(rest.withColumn("seen", F.lit(None).cast(spare.select(place.alias("x")).schema["x"].dataType)))
-    while not fitting(state).isEmpty():
-        more, state = advanced(state)
-        some, state = filled(state)
-        best = best.unionByName(more).unionByName(some)
-    best = best.withColumn("best", F.lit(1))
-    out = ranked.join(best, ["key", "row"], "left")
-    copies = F.col("whole") + (F.col("extra") | F.col("best").isNotNull()).cast("long")
-    return out.select("doc_id", "source", "text_hash", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
+    base = saved(_placed(own, seed, "doc_id", "text", "source").drop("text"))
+    out = _copies(base, *_plan(base.select(*BASE), share, most, cycle, near))
+    return out.select("doc_id", "source", F.col("_text_hash").alias("text_hash"), F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, share: float = 1.0, most: float = 3.0, cycle: tuple[float, ...] = (1.0, 2.0, 3.0), seed: int = 1, near: float = 1e-3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: every row of ``docs``, a table that reads the same twice, as often as mix() takes it. Texts are read and repeated, not shuffled."""
+    placed = _placed(docs.select(*(F.col(c).alias(f"_in_{c}") for c in docs.columns)), seed, f"_in_{id_col}", f"_in_{text_col}", f"_in_{source_col}")
+    out = _copies(placed, *_plan(saved(placed.select(*BASE)), share, most, cycle, near)).filter("copies > 0")
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return out.select(*(F.col(f"_in_{c}").alias(c) for c in docs.columns))

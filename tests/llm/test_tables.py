@@ -62,6 +62,21 @@ def test_mix_fills_what_a_giant_document_leaves(spark, seed):
     assert sum(r.taken for r in got) > got[0].target - 5
 
 
+def test_mix_of_many_equal_rows(spark):
+    """Equal rows share their random number; the cut goes through them all the same, and reruns agree."""
+    rows = [(7, "a b c d", "s")] * 6000 + [(None, None, None)] * 50 + [(None, "x y", None)] * 700 + [(i, "p q r", "t") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    once, again = (collections.Counter((r.doc_id, r.source, r.copies, r.taken) for r in mix(docs).collect()) for _ in range(2))
+    target = {r.source: r.target for r in mix(docs).collect()}
+    taken = collections.Counter()
+    for (_, source, _, words), n in once.items():
+        taken[source] += words * n
+    assert once == again and sum(once.values()) == len(rows)
+    assert all(0 <= target[s] - taken[s] < 4 for s in target) and len({k[2] for k in once if k[1] == "s"}) == 2
+    out = corpus_pipeline.mix_sources(spark, spark.createDataFrame([(*r[:2], "en", r[2], 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert collections.Counter(r.source for r in out.collect()) == {s: sum(n * k[2] for k, n in once.items() if k[1] == s) for s in target}
+
+
 def test_packing_balances_all_dimensions():
     rng = np.random.default_rng(2)
     sizes = rng.lognormal(0, 1, (3000, 3))
