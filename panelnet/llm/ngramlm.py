@@ -1,17 +1,19 @@
-"""Scoring texts with an interpolated bigram model of exact counts, however many words and bigrams there are.
+"""Scoring texts with a smoothed bigram model whose counts lie, quantised, in a log-frequency Bloom filter.
 
-Words and bigrams of all training texts are counted, combined in each task before they are shuffled by hash; bigrams are kept
-from a count of ``least_bigram`` on, whatever their words. With p1(w) = (c(w) + a) / (N + a (V + 1)) and kept(h) the mass of h's kept bigrams
+Words and bigrams of all training texts are counted, whatever their count. A count c has the level 1 + log(c) / log(base), rounded up or down at random by the
+n-gram's hash, so that what is read back is c on average; the filter holds an entry for each level up to it, and repeated membership probes find the
+level again. With p1(w) = (c(w) + a) / (N + a (V + 1)) and q(h, w) as read from the filter
 
-    p(w | h) = (c(h, w) + (c(h) - kept(h) + m) p1(w)) / (c(h) + m)
+    p(w | h) = (q(h, w) + m p1(w)) / (c(h) + m + F),    F = V * 2^-probes
 
-which sums to one over w; a text's first word has p1. Its logarithm is a sum of what w has, log p1(w), what h has,
-log (c(h) - kept(h) + m) / (c(h) + m), and for a kept bigram log (1 + c(h, w) / ((c(h) - kept(h) + m) p1(w))). So a text's score is a
-sum over its words and its kept bigrams, each with a value of its own.
+F being the false counts that a head's V words are expected to read, so that the probabilities of a head sum to one on average; m is at least F. A text's first
+word has p1. The logarithm is a sum of log p1(w), which is exact and what base_score adds up too, of log (m / (c(h) + m + F)), and for a
+bigram that is read of log (1 + q(h, w) / (m p1(w))).
 
-The values of the most frequent words and bigrams, of bounded numbers, are broadcast; all others of a text are joined
-with the table of values. A Bloom filter of the other kept bigrams spares the join those that are not kept. Its size is
-bounded: one too full lets more of them through to the join and changes no score.
+The filter grows with the corpus and is cut into stretches by hash, each as long as its entries need. Stretches are broadcast in rounds of
+bounded size; a round scores the bigrams that lie in it, and the rounds add up. Nothing is left out of the filter to make it smaller. A word too
+rare for the broadcast table of exact counts shares a stretch with the bigrams that it ends, which need its count. Exact counts of rare words in the other terms
+are joined.
 """
 
 from __future__ import annotations
@@ -25,46 +27,39 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelnet.llm.storage import saved
-from panelnet.llm.textkernel import GOLDEN, PLACE, U, mix, releasing, slices, step, word_hashes, words
+from panelnet.llm.storage import dropped, saved
+from panelnet.llm.textkernel import PLACE, U, mix, releasing, slices, step, word_hashes, words
 
 END = int(mix(np.array([97], U))[0])
-PARTS = 64
-LEAST_BYTES = 1 << 11  # of a stretch: a few n-grams with many levels must not fill it
 FLUSH = 1 << 22
 FLUSH_PAIRS = 1 << 21
 SCORE_BYTES = 2 << 20
+LOW = U(0xFFFFFFFF)
 
 
 @dataclass(frozen=True)
 class Model:
-    """filter_bits, exact_words, frequent_words: bounds of what is broadcast, 256 bigrams for each frequent word; base: ratio of neighbouring levels; probes: bits of an entry."""
+    """round_bytes, exact_words: bounds of what is broadcast at once; part_tokens: training tokens for each stretch of the filter, about; base: ratio of
+    neighbouring levels; probes, more_probes: bits of an entry of the first level and of a further one."""
 
-    filter_bits: int = 1 << 28
+    round_bytes: int = 96 << 20
     exact_words: int = 1 << 18
-    frequent_words: int = 1 << 12
-    least_bigram: int = 2
-    base: float = 1.25
-    probes: int = 6
+    part_tokens: int = 1 << 21
+    base: float = 2.0
+    probes: int = 16
+    more_probes: int = 8
     a: float = 0.1
     m: float = 4.0
 
-    @property
-    def exact_pairs(self) -> int:
-        return 256 * self.frequent_words
-
-    @property
-    def bits_per_entry(self) -> float:
-        return self.probes / math.log(2)
-
-    def level(self, count: np.ndarray) -> np.ndarray:
-        return 1 + np.rint(np.log(np.maximum(count, 1)) / math.log(self.base)).astype(np.int64)
-
     def value(self, level: np.ndarray) -> np.ndarray:
         return np.where(level > 0, np.rint(self.base ** (level - 1.0)), 0.0)
 
-    def level_column(self, count: Column) -> Column:
-        return (F.lit(1) + F.rint(F.log(count.cast("double")) / math.log(self.base))).cast("long")
+    def level(self, key: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The level below or above each count, by the n-gram's hash, such that the value is the count on average."""
+        low = np.floor(np.log(count) / math.log(self.base) + 1e-9).astype(np.int64) + 1
+        below, above = self.value(low), self.value(low + 1)
+        chance = np.where(above > below, (count - below) / np.maximum(above - below, 1e-9), 0.0)
+        return low + ((mix(key ^ step(77)) >> U(11)) / float(1 << 53) < chance)
 
 
 def _salted(key: np.ndarray, kind: int) -> np.ndarray:
@@ -116,32 +111,6 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(*_combined(keys, counts))
 
 
-@releasing
-def _count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, counts, heads, nexts, held = [], [], [], [], 0
-
-    def out() -> pa.RecordBatch:
-        key, place, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        head, word = (np.concatenate(x)[place].view(np.int64) for x in (heads, nexts))
-        return _batch(key, np.bincount(where, np.concatenate(counts)).astype(np.int64), head=head, word=word)
-
-    for batch in batches:
-        for _, _, data, offs in slices(batch.column(0)):
-            t, first = _tokens(data, offs)
-            at, pair = _pairs(t, first)
-            key, place, count = np.unique(pair, return_index=True, return_counts=True)
-            keys.append(key)
-            counts.append(count)
-            heads.append(t[at[place] - 1])
-            nexts.append(t[at[place]])
-            held += len(key)
-            if held > FLUSH_PAIRS:
-                yield out()
-                keys, counts, heads, nexts, held = [], [], [], [], 0
-    if keys:
-        yield out()
-
-
 def _find(table: np.ndarray, key: np.ndarray) -> np.ndarray:
     """The place of each key in the sorted table, or -1."""
     if not len(table):
@@ -150,49 +119,108 @@ def _find(table: np.ndarray, key: np.ndarray) -> np.ndarray:
     return np.where(table[at] == key, at, -1)
 
 
+def _home(word: np.ndarray, pair: np.ndarray, exact: np.ndarray, parts: int) -> np.ndarray:
+    """The stretch of each bigram: by the word that ends it, or, if that is in the exact table, by the bigram itself, so that no frequent word fills one."""
+    by = np.where(_find(exact, word) >= 0, pair, _salted(word, 3))
+    return ((by >> U(32)) * U(parts) >> U(32)).astype(np.int64)
+
+
+def _counter(exact, parts: int):
+    """Bigrams (and words outside the exact table, as bigrams without head), combined, as packed rows of each stretch."""
+
+    def packed(keys: list[np.ndarray], counts: list[np.ndarray], homes: list[np.ndarray]) -> pa.RecordBatch:
+        key, place, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        count, home = np.bincount(where, np.concatenate(counts)).astype(np.uint32), np.concatenate(homes)[place]
+        order = np.argsort(home, kind="stable")
+        home = home[order]
+        cut = np.flatnonzero(np.diff(home, prepend=-1, append=parts + 1))
+        rows = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+        key, count = key[order], count[order]
+        return pa.RecordBatch.from_pydict({"part": home[cut[:-1]].astype(np.int32), "keys": pa.array([key[i:j].tobytes() for i, j in rows], pa.binary()), "counts": pa.array([count[i:j].tobytes() for i, j in rows], pa.binary())})
+
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, keys, counts, homes, held = exact.value[0], [], [], [], 0
+        for batch in batches:
+            for _, _, data, offs in slices(batch.column(0)):
+                t, first = _tokens(data, offs)
+                at, pair = _pairs(t, first)
+                key, place, count = np.unique(pair, return_index=True, return_counts=True)
+                word, times = np.unique(t, return_counts=True)
+                seldom = _find(table, word) < 0
+                word, times = word[seldom], times[seldom]
+                keys += [key, _salted(word, 1)]
+                counts += [count, times]
+                homes += [_home(t[at[place]], key, table, parts), _home(word, word, table, parts)]
+                held += len(key) + len(word)
+                if held > FLUSH_PAIRS:
+                    yield packed(keys, counts, homes)
+                    keys, counts, homes, held = [], [], [], 0
+        if held:
+            yield packed(keys, counts, homes)
+
+    return run
+
+
+def _probes(key: np.ndarray, level: int, number: int, width: np.ndarray | int) -> Iterator[np.ndarray]:
+    """For each probe of the level's entries the bit among ``width`` bits."""
+    h = mix(key + step(level))
+    at, stride = h >> U(32), h & LOW | U(1)
+    width = np.asarray(width, U)
+    for _ in range(number):
+        yield (at * width >> U(32)).astype(np.int64)
+        at = (at + stride) & LOW
+
+
+def _filled(model: Model):
+    """A stretch of the filter from the packed counts of all tasks."""
+
+    def part(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        gram, count = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in table[c]]) for c, kind in (("keys", U), ("counts", np.uint32)))
+        gram, count = _combined([gram], [count])
+        level = model.level(gram, count)
+        entries = len(gram) * model.probes + int((level - 1).sum()) * model.more_probes
+        width = max(1 << 10, math.ceil(entries / math.log(2) / 8) * 8)
+        bits = np.zeros(width, bool)
+        for now in range(1, int(level.max(initial=0)) + 1):
+            for place in _probes(gram[level >= now], now, model.probes if now == 1 else model.more_probes, width):
+                bits[place] = True
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "size": pa.array([width // 8], pa.int64()), "n": pa.array([len(gram)], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    return part
+
+
 class Filter:
-    """PARTS equal stretches of bits; an entry's probes lie in one stretch, which its n-gram determines."""
-
-    def __init__(self, bits: np.ndarray, model: Model):
-        self.bits, self.model, self.width = bits, model, len(bits) * 8 // PARTS
-
-    @staticmethod
-    def places(key: np.ndarray, level: np.ndarray, model: Model, width: int) -> Iterator[np.ndarray]:
-        """For each probe the entry's bit within its stretch."""
-        h = mix(key + level.astype(U) * GOLDEN)
-        at, stride = (h >> U(32)) % U(width), (h & U(0xFFFFFFFF)) % U(width - 1) + U(1)
-        for _ in range(model.probes):
-            yield at.astype(np.int64)
-            at = (at + stride) % U(width)
-
-    @staticmethod
-    def part(key: np.ndarray) -> np.ndarray:
-        return (key >> U(58)).astype(np.int64)
-
-    def counts(self, key: np.ndarray) -> np.ndarray:
-        """The counts read for the n-grams, 0 where the first level is missing."""
-        level, going = np.zeros(len(key), np.int64), np.arange(len(key))
-        begin = self.part(key) * self.width
-        for _ in range(int(self.model.level(np.array([2.0**62]))[0])):
+    """Stretches of bits one after the other; begin[p], width[p]: the bits of stretch p, width 0 if it is not here."""
+
+    def __init__(self, bits: np.ndarray, begin: np.ndarray, width: np.ndarray, model: Model):
+        self.bits, self.begin, self.width, self.model = bits, begin, width, model
+
+    def _hit(self, bit: np.ndarray) -> np.ndarray:
+        return (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+
+    def _has(self, key: np.ndarray, level: int, begin: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """The places of the keys that have the level: two probes leave few of the others, which are probed on alone."""
+        number = self.model.probes if level == 1 else self.model.more_probes
+        alive = np.arange(len(key))
+        for place in _probes(key, level, min(2, number), width):
+            alive = alive[self._hit((begin + place)[alive])]
+        ok = np.ones(len(alive), bool)
+        for place in _probes(key[alive], level, number, width[alive]):
+            ok &= self._hit(begin[alive] + place)
+        return alive[ok]
+
+    def levels(self, key: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """The level read for each n-gram by probing for one after the other, 0 where the first is missing."""
+        level = np.zeros(len(key), np.int64)
+        going = np.flatnonzero(self.width[part] > 0)
+        for now in range(1, 64):
             if not len(going):
                 break
-            at, own = going, level[going] + 1
-            for place in self.places(key[going], own, self.model, self.width):
-                bit = begin[at] + place
-                hit = (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                at = np.where(hit, at, -1)
-            going = going[at >= 0]
-            level[going] += 1
-        return self.model.value(level)
-
-
-    def has(self, key: np.ndarray) -> np.ndarray:
-        """Whether the n-grams' first level is there."""
-        begin, found = self.part(key) * self.width, np.ones(len(key), bool)
-        for place in self.places(key, np.ones(len(key), np.int64), self.model, self.width):
-            bit = begin + place
-            found &= (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-        return found
+            own = part[going]
+            going = going[self._has(key[going], now, self.begin[own], self.width[own])]
+            level[going] = now
+        return level
 
 
 @releasing
@@ -210,24 +238,6 @@ def _sorted_table(values: DataFrame, *names: str) -> tuple[np.ndarray, ...]:
     return key[order], *(np.frombuffer(b"".join(r[x] for r in rows))[order] for x in names)
 
 
-@releasing
-def _salt_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(_salted(b.column(0).to_numpy().view(U), 2).view(np.int64)), *b.columns[1:]], b.schema.names)
-
-
-def _fill(model: Model, width: int):
-    def part(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        grams, levels = table["key"].to_numpy().view(U), table["level"].to_numpy()
-        bits = np.zeros(width, bool)
-        for level in range(1, int(levels.max(initial=0)) + 1):
-            for place in Filter.places(own := grams[levels >= level], np.full(len(own), level), model, width):
-                bits[place] = True
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    return part
-
-
 def _least(counts: DataFrame, room: float, weight: Column) -> int:
     """The lowest power of two such that the n-grams of at least that count weigh no more than ``room``; a row for each power reaches the driver."""
     by = counts.groupBy(F.floor(F.log2(F.col("count").cast("double"))).cast("int").alias("p")).agg(F.sum(weight).alias("w")).orderBy(F.desc("p")).collect()
@@ -240,16 +250,17 @@ def _least(counts: DataFrame, room: float, weight: Column) -> int:
     return least if least is not None else 1 << (by[0]["p"] + 1) if by else 1
 
 
-RARE = "array<struct<key:long,tf:long,word:boolean>>"
+RARE = "array<struct<key:long,tf:long>>"
 
 
-def _score(model: Model, exact, filter_):
+def _base(exact):
+    """What words in the exact table add to base_score and, as heads, to score; the others of each text to be joined: base and, for heads, back."""
+
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, base, back, grams, gain = exact.value
-        table = Filter(filter_.value, model)
+        keys, base, back = exact.value[:3]
         for batch in batches:
-            for lo, hi, data, offs in slices(batch.column(1), SCORE_BYTES):
+            for lo, hi, data, offs in slices(batch.column(2), SCORE_BYTES):
                 t, first = _tokens(data, offs)
                 n = np.diff(first)
                 owner = np.repeat(np.arange(len(n)), n)
@@ -258,30 +269,70 @@ def _score(model: Model, exact, filter_):
                 sure = at >= 0
                 own, at = owner[sure], at[sure]
                 base_sum = np.bincount(own, base[at], len(n))
-                score = base_sum + np.bincount(own, back[at], len(n))
-                place, pair = _pairs(t, first)
-                gram, of = np.unique(_salted(pair, 2), return_inverse=True)
-                at = _find(grams, gram)
-                found = (at >= 0)[of]
-                score += np.bincount(owner[place[found]], gain[at[of[found]]], len(n))
-                ask = at < 0
-                ask[ask] = table.has(gram[ask])
-                ask = ask[of]
-                rare = [_rare(owner[~sure], t[~sure]), _rare(owner[place[ask]], gram[of[ask]])]
-                of_text = np.concatenate([r[0] for r in rare])
-                order = np.argsort(of_text, kind="stable")
-                key, tf = (np.concatenate([r[i] for r in rare])[order] for i in (1, 2))
-                is_word = np.repeat([True, False], [len(r[0]) for r in rare])[order]
-                rare_at = np.searchsorted(of_text[order], np.arange(len(n) + 1)).astype(np.int32)
-                asked = pa.ListArray.from_arrays(pa.array(rare_at), pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array(tf.astype(np.int64)), pa.array(is_word)], ["key", "tf", "word"]))
+                back_sum = np.bincount(own, back[at], len(n))
+                of_text, key, tf = _rare(owner[~sure], t[~sure])
+                rare_at = np.searchsorted(of_text, np.arange(len(n) + 1)).astype(np.int32)
+                asked = pa.ListArray.from_arrays(pa.array(rare_at), pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array(tf.astype(np.int64))], ["key", "tf"]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(np.bincount(own, minlength=len(n)).astype(np.int64)), pa.array(base_sum.astype(np.float64)), pa.array(score.astype(np.float64)), asked],
-                    ["doc_id", "n_tokens", "n_sure", "base_sure", "score_sure", "rare"],
+                    [*(batch.column(i).slice(lo, hi - lo) for i in (0, 1)), pa.array(n.astype(np.int64)), pa.array(np.bincount(own, minlength=len(n)).astype(np.int64)), pa.array(base_sum.astype(np.float64)), pa.array((base_sum + back_sum).astype(np.float64)), asked],
+                    ["doc_id", "text_hash", "n_tokens", "n_sure", "base_sure", "score_sure", "rare"],
                 )
 
     return run
 
 
+def _gains(model: Model, m: float, exact, bottom: float, round_, parts: int):
+    """What the bigrams of this round's stretches add to each text's score."""
+
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, base = exact.value[:2]
+        bits, begin, width = round_.value
+        table = Filter(bits, begin, width, model)
+        for batch in batches:
+            for lo, hi, data, offs in slices(batch.column(2), SCORE_BYTES):
+                t, first = _tokens(data, offs)
+                n = np.diff(first)
+                owner = np.repeat(np.arange(len(n)), n)
+                at, pair = _pairs(t, first)
+                key, pick, where = np.unique(pair, return_index=True, return_inverse=True)
+                word = t[at[pick]]
+                home = _home(word, key, keys, parts)
+                level = table.levels(key, home)
+                seen = np.flatnonzero(level)
+                gain = np.zeros(len(key))
+                if len(seen):
+                    own = _find(keys, word[seen])
+                    p1 = np.where(own >= 0, 10.0 ** base[own], 0.0) if len(keys) else np.zeros(len(seen))
+                    seldom = np.flatnonzero(own < 0)
+                    kind, of = np.unique(word[seen[seldom]], return_inverse=True)
+                    count = model.value(table.levels(_salted(kind, 1), _home(kind, kind, keys, parts)))[of]
+                    p1[seldom] = (np.maximum(count, 1) + model.a) / bottom
+                    gain[seen] = np.log10(1 + model.value(level[seen]) / (m * p1))
+                total = np.bincount(owner[at], gain[where], len(n))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in (0, 1)), pa.array(total.astype(np.float64))], ["doc_id", "text_hash", "gain"])
+
+    return run
+
+
+def _rounds(stretches: DataFrame, parts: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bits, begin, width) of stretches that together have at most ``most`` bytes, or of a single larger one, until all have been given."""
+    sizes = [(r["part"], r["size"]) for r in stretches.select("part", "size").orderBy("part").collect()]
+    while sizes:
+        own = [sizes.pop(0)]
+        while sizes and sum(s for _, s in own) + sizes[0][1] <= most:
+            own.append(sizes.pop(0))
+        begin, width = np.zeros(parts, np.int64), np.zeros(parts, np.int64)
+        offset = np.cumsum([0, *(s for _, s in own)])
+        bits = np.zeros(int(offset[-1]), np.uint8)
+        for (p, s), at in zip(own, offset.tolist(), strict=False):
+            begin[p], width[p] = at * 8, s * 8
+        for r in stretches.filter(F.col("part").between(own[0][0], own[-1][0])).select("part", "bits").toLocalIterator():
+            at = begin[r["part"]] // 8
+            bits[at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+        yield bits, begin, width
+
+
 def _rare(owner: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, key, occurrences) of the distinct pairs, by text."""
     order = np.lexsort((key, owner))
@@ -298,66 +349,52 @@ def score_texts(docs: DataFrame, training: Column, model: Model = Model(), id_co
     Tokens: words with A-Z lower-cased, then one end. n_known: tokens that training has; train_tokens: its tokens; base_score: the smoothed
     unigram log10 probability by exact counts; score: the bigram model's. A null text is empty: an end alone; a null ``training`` counts as
     false. Without training rows all tokens are unknown and alike. Null ids and rows that repeat one are scored row by row. Other columns are
-    ignored; an empty table gives an empty one.
+    ignored; an empty table gives an empty one. The texts are read once more for every ``round_bytes`` of the filter.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
+    kind = texts.schema["doc_id"].dataType.simpleString()
     train = texts.filter("train").select("text")
     counts = saved(train.mapInArrow(_count_words, "key long, count long").groupBy("key").agg(F.sum("count").alias("count")))
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-
     bottom = total["n"] + model.a * (total["v"] + 1)
+    false = total["v"] / 2.0**model.probes
+    m = max(model.m, false)
 
-    bigrams = train.mapInArrow(_count_bigrams, "key long, count long, head long, word long").groupBy("key").agg(F.sum("count").alias("count"), F.first("head").alias("head"), F.first("word").alias("word"))
-    bigrams = saved(bigrams.filter(F.col("count") >= model.least_bigram))
-    mass = bigrams.groupBy("head").agg(F.sum("count").alias("kept")).withColumnRenamed("head", "key")
-    held = F.col("count") - F.coalesce("kept", F.lit(0)) + model.m
-    values = counts.join(mass, "key", "left").select("key", "count", held.alias("held"), F.log10((F.col("count") + model.a) / bottom).alias("base"), F.log10(held / (F.col("count") + model.m)).alias("back"))
-    values = saved(values)
+    head = F.when(F.col("key") != int(np.array([END], U).view(np.int64)[0]), F.log10(F.lit(m) / (F.col("count") + (m + false)))).otherwise(0.0)
+    values = counts.select("key", "count", F.log10((F.col("count") + model.a) / bottom).alias("base"), head.alias("back"))
     least = _least(counts, model.exact_words, F.lit(1))
     often, seldom = values.filter(F.col("count") >= least), values.filter(F.col("count") < least)
-
-    def told(pairs: DataFrame, by: str, what: str) -> DataFrame:
-        """``pairs`` with the word's value: of frequent words from a broadcast, else by a join in which the former's pairs are spread by their own keys."""
-        top = often.select(F.col("key").alias(by), F.col(what).alias("top"))
-        other = seldom.select(F.col("key").alias("other"), F.col(what).alias("found"))
-        pairs = pairs.join(F.broadcast(top), by, "left").withColumn("other", F.when(F.col("top").isNull(), F.col(by)).otherwise(F.col("key")))
-        return pairs.join(other, "other", "left").withColumn(f"{by}_{what}", F.coalesce("top", "found")).drop("top", "other", "found")
-
-    gain = F.log10(1 + F.col("count") / (F.col("head_held") * F.pow(F.lit(10.0), "word_base")))
-    pairs = told(told(bigrams, "head", "held"), "word", "base").select("key", "count", gain.alias("gain"))
-    pairs = saved(pairs.mapInArrow(_salt_pairs, "key long, count long, gain double"))
-    least_pair = _least(pairs, model.exact_pairs, F.lit(1))
-    few = pairs.filter(F.col("count") < least_pair)
-
-    def entry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key = b.column(0).to_numpy()
-            yield pa.RecordBatch.from_pydict({"key": key, "level": np.ones(len(key), np.int64), "part": Filter.part(key.view(U)).astype(np.int32)})
-
-    size = min(few.count() * model.bits_per_entry, model.filter_bits)
-    width = 8 * max(LEAST_BYTES, math.ceil(size / PARTS / 8))
-    parts = few.select("key").mapInArrow(entry, "key long, level long, part int").groupBy("part").applyInArrow(_fill(model, width), "part int, bits binary")
-    bits = np.zeros((PARTS, width // 8), np.uint8)
-    for r in parts.collect():
-        bits[r["part"]] = np.frombuffer(r["bits"], np.uint8)
-    exact = spark.sparkContext.broadcast((*_sorted_table(often, "base", "back"), *_sorted_table(pairs.filter(F.col("count") >= least_pair), "gain")))
-    filled = spark.sparkContext.broadcast(bits.ravel())
-
-    scored = texts.select("doc_id", "text").mapInArrow(_score(model, exact, filled), f"doc_id long, n_tokens long, n_sure long, base_sure double, score_sure double, rare {RARE}")
+    exact = spark.sparkContext.broadcast(_sorted_table(often, "base", "back"))
+
+    parts = max(16, math.ceil(total["n"] / model.part_tokens))
+    packed = train.mapInArrow(_counter(exact, parts), "part int, keys binary, counts binary")
+    stretches = saved(packed.groupBy("part").applyInArrow(_filled(model), "part int, size long, n long, bits binary"))
+    gains = []
+    for stretch in _rounds(stretches, parts, model.round_bytes):
+        sent = spark.sparkContext.broadcast(stretch)
+        gains.append(saved(texts.select("doc_id", "text_hash", "text").mapInArrow(_gains(model, m, exact, bottom, sent, parts), f"doc_id {kind}, text_hash long, gain double").dropDuplicates(["doc_id", "text_hash"])))
+        sent.destroy()
+    dropped(stretches)
+
+    scored = texts.select("doc_id", "text_hash", "text").mapInArrow(_base(exact), f"doc_id {kind}, text_hash long, n_tokens long, n_sure long, base_sure double, score_sure double, rare {RARE}")
     scored = saved(scored.withColumn("row", F.monotonically_increasing_id()))
-    rare = scored.select("row", F.explode("rare").alias("w")).select("row", "w.key", "w.tf", "w.word")
-    table = seldom.select("key", F.lit(True).alias("word"), "base", "back").unionByName(few.select("key", F.lit(False).alias("word"), F.lit(0.0).alias("base"), F.col("gain").alias("back")))
-    rare = rare.join(table.withColumn("known", F.lit(1)), ["key", "word"], "left")
-    unknown = F.when(F.col("word"), F.lit(math.log10(model.a / bottom))).otherwise(0.0)
-    base, back = F.coalesce("base", unknown), F.coalesce("back", F.lit(0.0))
-    rare = rare.groupBy("row").agg(F.sum(F.col("tf") * base).alias("base_rare"), F.sum(F.col("tf") * (base + back)).alias("score_rare"), F.sum(F.when(F.col("word") & F.col("known").isNotNull(), F.col("tf")).otherwise(0)).alias("n_rare"))
+    rare = scored.select("row", F.explode("rare").alias("w")).select("row", "w.key", "w.tf").join(seldom.withColumn("known", F.lit(1)), "key", "left")
+    base = F.coalesce("base", F.lit(math.log10(model.a / bottom)))
+    back = F.coalesce("back", F.lit(math.log10(m / (m + false))))
+    rare = rare.groupBy("row").agg(F.sum(F.col("tf") * base).alias("base_rare"), F.sum(F.col("tf") * (base + back)).alias("score_rare"), F.sum(F.when(F.col("known").isNotNull(), F.col("tf")).otherwise(0)).alias("n_rare"))
     out = scored.drop("rare").join(rare, "row", "left")
+    score = F.col("score_sure") + F.coalesce("score_rare", F.lit(0.0))
+    for gain in gains:
+        gain = gain.select(F.col("doc_id").alias("gain_id"), F.col("text_hash").alias("gain_hash"), "gain")
+        out = out.join(gain, F.col("doc_id").eqNullSafe(F.col("gain_id")) & (F.col("text_hash") == F.col("gain_hash")), "left")
+        out = out.withColumn("score_sure", F.col("score_sure") + F.coalesce("gain", F.lit(0.0))).drop("gain_id", "gain_hash", "gain")
     return out.select(
         "doc_id",
         "n_tokens",
         (F.col("n_sure") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
         F.lit(total["n"]).cast("long").alias("train_tokens"),
         (F.col("base_sure") + F.coalesce("base_rare", F.lit(0.0))).alias("base_score"),
-        (F.col("score_sure") + F.coalesce("score_rare", F.lit(0.0))).alias("score"),
+        score.alias("score"),
     )

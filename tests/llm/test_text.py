@@ -103,7 +103,7 @@ def fold(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
 
 
-@pytest.mark.parametrize("model", [ngramlm.Model(), ngramlm.Model(exact_words=3, frequent_words=4, filter_bits=1 << 12)])
+@pytest.mark.parametrize("model", [ngramlm.Model(), ngramlm.Model(exact_words=3, part_tokens=100, round_bytes=1 << 11)])
 def test_scores_equal_brute_force(messy, model):
     train = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) != 0
     rows = messy.collect()
@@ -121,29 +121,47 @@ def test_scores_equal_brute_force(messy, model):
     assert sum(len(x) for x in got.values()) == len(rows)
 
 
-@pytest.mark.parametrize("model", [ngramlm.Model(), ngramlm.Model(exact_words=3, frequent_words=1, filter_bits=1 << 12)])
-def test_bigram_scores_are_exact_for_rare_words(spark, model):
+@pytest.mark.parametrize("model", [ngramlm.Model(probes=24, more_probes=24), ngramlm.Model(probes=24, more_probes=24, exact_words=3, part_tokens=500, round_bytes=1 << 12)])
+def test_bigram_scores_equal_a_model_of_all_counts(spark, model):
+    """Every bigram of training counts, single ones too: scores lie between those of the levels below and above the counts, which meet at powers of two."""
     rng = random.Random(5)
-    rows = [(i, " ".join(f"w{rng.randrange(30) * rng.randrange(30)}" for _ in range(rng.randrange(0, 60)))) for i in range(400)]
+    rows = [(i, " ".join(f"w{rng.randrange(30) * rng.randrange(30)}" for _ in range(rng.randrange(0, 60)))) for i in range(400)] + [(1000 + i, f"p{i} q{i}") for i in range(20) for _ in range(1 + i % 2)]
     c, c2 = collections.Counter(), collections.Counter()
     for i, t in rows:
         w = [*t.split(), None]
         if i % 5:
             c.update(w)
             c2.update(itertools.pairwise(w))
-    c2 = {p: x for p, x in c2.items() if x > 1}
-    kept = collections.Counter()
-    for (h, _), x in c2.items():
-        kept[h] += x
-    n, v, want = sum(c.values()), len(c), {}
+    n, v = sum(c.values()), len(c)
+    false, low, high = v / 2.0**24, {}, {}
+    two = lambda x, up: 0 if not x else 2.0 ** (math.ceil if up else math.floor)(math.log2(x))
     for i, t in rows:
         w = [*t.split(), None]
-        p1 = [(c[x] + 0.1) / (n + 0.1 * (v + 1)) for x in w]
-        want[i] = math.log10(p1[0]) + sum(math.log10((c2.get((h, x), 0) + (c[h] - kept[h] + 4) * p) / (c[h] + 4)) for h, x, p in zip(w, w[1:], p1[1:], strict=False))
+        p1 = lambda x, up=None: ((c[x] if up is None or not c[x] else two(c[x], up)) + 0.1) / (n + 0.1 * (v + 1))
+        for store, up in ((low, False), (high, True)):
+            store[i] = math.log10(p1(w[0])) + sum(math.log10(p1(x)) + math.log10(4 / (c[h] + 4 + false)) + math.log10(1 + two(c2[h, x], up) / (4 * (p1(x) if model.exact_words > 3 else p1(x, not up)))) for h, x in itertools.pairwise(w))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.score for r in ngramlm.score_texts(docs, F.col("doc_id") % 5 != 0, model).collect()}
-    assert min(c[h] for h, _ in c2) < 10 and len(c2) > 256
-    assert all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+    assert len(got) == len(high) and sum(x == 1 for x in c2.values()) > 100 and max(c2.values()) > 8
+    assert all(low[i] - 1e-6 <= got[i] <= high[i] + 1e-6 for i in got)
+    exact = [i for i in got if math.isclose(low[i], high[i], rel_tol=1e-9)]
+    assert len(exact) > 10 and all(math.isclose(got[i], low[i], rel_tol=1e-9) for i in exact)
+
+
+def test_probabilities_of_a_head_sum_to_one(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(vocabulary[min(rng.randrange(60), rng.randrange(60))] for _ in range(40))) for i in range(150)]
+    asked = {"": 10_000} | {w: 10_001 + k for k, w in enumerate(vocabulary)}
+    heads = ["w0", "w5", "w20", "w40", "w59"]
+    asked |= {f"{h} {w}": 20_000 + 100 * k + i for k, h in enumerate(heads) for i, w in enumerate(vocabulary)}
+    docs = spark.createDataFrame(rows + [(i, t) for t, i in asked.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in ngramlm.score_texts(docs, F.col("doc_id") < 10_000, ngramlm.Model(probes=8)).collect()}
+    end = got[asked[""]].base_score
+    one = {w: got[asked[w]].base_score - end for w in vocabulary}
+    for h in heads:
+        mass = sum(10 ** (got[asked[f"{h} {w}"]].score - got[asked[w]].score - one[h] + one[w]) for w in vocabulary) + 10 ** (got[asked[h]].score - one[h])
+        assert abs(mass - 1) < 0.12, (h, mass)
 
 
 def test_scores_without_training_and_of_nothing(messy, nothing):
@@ -154,18 +172,16 @@ def test_scores_without_training_and_of_nothing(messy, nothing):
 
 def test_filter_reads_counts_back_and_never_too_low():
     model = ngramlm.Model()
-    key = ngramlm.mix(np.arange(1, 301, dtype=np.uint64))
-    count = np.arange(1, 3001, 10)
-    width = 1 << 13
-    bits = np.zeros((ngramlm.PARTS, width), bool)
-    for k, c in zip(key, count, strict=True):
-        for level in range(1, int(model.level(np.array([c]))[0]) + 1):
-            for place in ngramlm.Filter.places(np.array([k]), np.array([level]), model, width):
-                bits[int(ngramlm.Filter.part(np.array([k]))[0]), place] = True
-    table = ngramlm.Filter(np.packbits(bits, axis=1, bitorder="little").ravel(), model)
-    got = table.counts(key)
-    exact = model.value(model.level(count))
-    assert (got >= exact).all() and (got == exact).mean() > 0.9 and np.abs(np.log(exact / count)).max() < 0.25
+    key = ngramlm.mix(np.arange(1, 20001, dtype=np.uint64))
+    count = 1 + np.arange(20000) % 3000
+    stretch = ngramlm._filled(model)((pa.scalar(0),), pa.table({"keys": [key.tobytes(), key[:100].tobytes()], "counts": [(count - (np.arange(20000) < 100)).astype(np.uint32).tobytes(), np.ones(100, np.uint32).tobytes()]}))
+    table = ngramlm.Filter(np.frombuffer(stretch["bits"][0].as_py(), np.uint8), np.zeros(2, np.int64), np.array([stretch["size"][0].as_py() * 8, 0]), model)
+    level = model.level(key, count)
+    got = table.levels(key, np.zeros(20000, np.int64))
+    assert (got >= level).all() and (got == level).mean() > 0.99
+    assert abs(model.value(level).sum() / count.sum() - 1) < 0.01  # right on average
+    other = ngramlm.mix(np.arange(1 << 20, (1 << 20) + 100000, dtype=np.uint64))
+    assert (table.levels(other, np.zeros(100000, np.int64)) > 0).sum() < 15 and not table.levels(key, np.ones(20000, np.int64)).any()
 
 
 def test_bigrams_that_training_has_score_higher(spark):
