@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelnet.llm.storage import saved
 from panelnet.llm.textkernel import LOWER, U, Words, mix, releasing, slices, word_hashes, words
 
 UNKNOWN = "und"
 PATH_WORDS = 1 << 20
+HELD_LANGS = 64
 #: First code points of ranges of scripts, by the blocks of Unicode; ranges of one name are one script.
 SCRIPTS = (
     (0x0041, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0700, "Other"),
@@ -39,13 +41,15 @@ NAMES = tuple(dict.fromkeys(name for _, name in SCRIPTS))
 
 @dataclass(frozen=True)
 class Settings:
-    """sample_rows: bound on the labelled texts that are learned from, chosen by a hash; penalty: log likelihood that a change of language costs."""
+    """sample_rows: bound on the labelled texts that are learned from, chosen by a hash; penalty: log likelihood that a change of language costs;
+    most_langs: bound on the languages, of which the tables that are broadcast have a column each."""
 
     sample_rows: int = 20_000
     buckets: int = 1 << 16
     penalty: float = 20.0
     smoothing: float = 0.5
     least_share: float = 0.002
+    most_langs: int = 1000
 
 
 @lru_cache(maxsize=1)
@@ -83,10 +87,21 @@ def _trigrams(data: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int
 
 
 def _learner(settings: Settings):
+    """The counts of each language's buckets and, as negative buckets, of its letters by script: those that occur, combined."""
+
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict[str, np.ndarray] = {}
         scripts: dict[str, np.ndarray] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for lang in grams:
+                some, used = np.flatnonzero(grams[lang]), np.flatnonzero(scripts[lang])
+                bucket, count = np.concatenate((some, -1 - used)), np.concatenate((grams[lang][some], scripts[lang][used]))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(bucket), pa.string()), pa.array(bucket.astype(np.int32)), pa.array(count.astype(np.int64))], ["lang", "bucket", "count"])
+            grams.clear()
+            scripts.clear()
+
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
             for lo, hi, data, offs in slices(batch.column(0)):
@@ -98,8 +113,9 @@ def _learner(settings: Settings):
                     own = langs[lo:hi] == lang
                     for store, values, texts, size in ((grams, bucket, text_of_gram, settings.buckets), (scripts, script, text_of_letter, len(NAMES))):
                         store[lang] = store.get(lang, 0) + np.bincount(values[own[texts]], minlength=size)
-        for lang in grams:
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), *(pa.array([x[lang].astype(np.int64)]) for x in (grams, scripts))], ["lang", "grams", "scripts"])
+                if len(grams) > HELD_LANGS:
+                    yield from told()
+        yield from told()
 
     return run
 
@@ -113,21 +129,35 @@ class Learned:
     allowed: np.ndarray
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        lang = np.array(b.column(0).to_pylist(), object)
+        for x in sorted(set(lang)):
+            own = lang == x
+            yield pa.RecordBatch.from_arrays([pa.array([x]), *(pa.array([b.column(i).to_numpy()[own].tobytes()], pa.binary()) for i in (1, 2))], b.schema.names)
+
+
 def learn(docs: DataFrame, labelled: Column, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Learned:
     """Learns from the rows with text and language where ``labelled`` holds, by a hash of the id about ``sample_rows`` of them where there are more.
 
-    Only the counts of each language's buckets reach the driver.
+    Counts are summed in the cluster: the driver gets at most one number for each language and bucket or script, whatever the number of texts
+    or partitions. More than ``most_langs`` languages are an error.
     """
     rows = docs.filter(labelled & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), id_col)
     n = rows.count()
     if n > settings.sample_rows:
-        rows = rows.filter(F.pmod(F.xxhash64(id_col, F.lit(17)), F.lit(1 << 30)) < int(settings.sample_rows / n * (1 << 30)))
-    got = rows.select("text", "lang").mapInArrow(_learner(settings), "lang string, grams array<long>, scripts array<long>")
+        rows = rows.filter(F.pmod(F.xxhash64(id_col, "text", F.lit(17)), F.lit(1 << 30)) < int(settings.sample_rows / n * (1 << 30)))
+    counted = saved(rows.select("text", "lang").mapInArrow(_learner(settings), "lang string, bucket int, count long").groupBy("lang", "bucket").agg(F.sum("count").alias("count")))
+    names = [r["lang"] for r in counted.select("lang").distinct().limit(settings.most_langs + 1).collect()]
+    if len(names) > settings.most_langs:
+        raise ValueError(f"more than {settings.most_langs} languages")
     sums: dict[str, list[np.ndarray]] = {}
-    for r in got.toLocalIterator():
+    for r in counted.mapInArrow(_pack, "lang string, bucket binary, count binary").toLocalIterator():
         own = sums.setdefault(r["lang"], [np.zeros(settings.buckets), np.zeros(len(NAMES))])
-        own[0] += r["grams"]
-        own[1] += r["scripts"]
+        bucket, count = np.frombuffer(r["bucket"], np.int32), np.frombuffer(r["count"], np.int64)
+        gram = bucket >= 0
+        np.add.at(own[0], bucket[gram], count[gram])
+        np.add.at(own[1], -1 - bucket[~gram], count[~gram])
     langs = tuple(sorted(sums))
     if not langs:
         return Learned((), np.zeros((settings.buckets, 0), np.float32), np.zeros((len(NAMES), 0), bool))
@@ -148,8 +178,9 @@ def viterbi(score: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
     begin, length = first[:-1][order], n[order]
     live = len(n) - np.searchsorted(length[::-1], np.arange(1, length[0] + 1), "left") if len(n) and length[0] else np.zeros(0, int)
     best = np.zeros((len(n), k), np.float32)
-    came = np.zeros((len(score), k), np.int8)
-    own = np.arange(k, dtype=np.int8)
+    state_type = np.int8 if k < 128 else np.int16
+    came = np.zeros((len(score), k), state_type)
+    own = np.arange(k, dtype=state_type)
     for t, m in enumerate(live.tolist()):
         at = begin[:m] + t
         if t:
@@ -162,8 +193,8 @@ def viterbi(score: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
         else:
             best[:m] = score[at]
         best[:m] -= best[:m].max(axis=1, keepdims=True)
-    out = np.zeros(len(score), np.int8)
-    state = best.argmax(axis=1).astype(np.int8)
+    out = np.zeros(len(score), state_type)
+    state = best.argmax(axis=1).astype(state_type)
     for t in range(len(live) - 1, -1, -1):
         m = live[t]
         at = begin[:m] + t

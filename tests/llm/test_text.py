@@ -202,6 +202,41 @@ def test_viterbi_equals_enumeration():
             assert math.isclose(value(got[a:b]), max(map(value, itertools.product(range(3), repeat=b - a))), abs_tol=1e-3)
 
 
+@pytest.mark.parametrize("k", [127, 128, 129, 300])
+def test_viterbi_of_many_languages(k):
+    rng = np.random.default_rng(k)
+    truth = rng.integers(0, k, 6)
+    truth[0] = k - 1
+    score = np.full((60, k), -10.0, np.float32)
+    score[np.arange(60), np.repeat(truth, 10)] = 0
+    assert langid.viterbi(score, np.array([0, 60]), 4.0).tolist() == np.repeat(truth, 10).tolist()
+
+
+def test_word_scores_equal_brute_force_for_300_languages(spark):
+    """Languages of words of their own, more than a byte tells apart: every text gets its own language, and scores are those of its trigrams."""
+    word = lambda i, k: f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + k)}{i % 7}x"
+    rows = [(i * 10 + k, " ".join(word(i, (k + j) % 20) for j in range(12)), f"l{i:03}") for i in range(300) for k in range(2)]
+    learned = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5), F.lit(True))
+    assert len(learned.langs) == 300
+    buckets, counts = langid.Settings().buckets, collections.defaultdict(collections.Counter)
+    hashed = lambda g: int(langid.mix(np.array([g[0] << 16 | g[1] << 8 | g[2]], np.uint64))[0]) & (buckets - 1)
+    grams = lambda w: [hashed(b) for b in zip(b" " + w[:-1], w, w[1:] + b" ", strict=True)]
+    for _, t, lang in rows:
+        for w in t.encode().split():
+            counts[lang].update(grams(w))
+    data = b"fcj2x aab0x 12"
+    w = words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    got, letters = langid._word_scores(np.frombuffer(data, np.uint8), w, learned, buckets)
+    for n, x in enumerate(data.split()[:2]):
+        want = np.array([sum(math.log((counts[lang][g] + 0.5) / (sum(counts[lang].values()) + 0.5 * buckets)) for g in grams(x)) for lang in learned.langs])
+        assert np.allclose(got[n], np.maximum(want - want.max(), -200), atol=1e-3)
+    assert not got[2].any() and letters.tolist() == [4, 4, 0]
+    out = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), learned).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id // 10:03}" for r in out) > 590
+    with pytest.raises(ValueError, match="more than 10 languages"):
+        langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), langid.Settings(most_langs=10))
+
+
 def test_languages_spans_and_odd_texts(spark, messy, nothing):
     en, de, ru = "the house and the garden with water", "das haus und der garten mit wasser für", "дом и сад с водой для всех"
     rows = [(i, " ".join([t] * 5), lang) for i in range(12) for t, lang in ((en, "en"), (de, "de"), (ru, "ru"))] + [(99, "x", None), (98, None, "en")]
