@@ -1,11 +1,12 @@
 """Byte-level BPE encoding and decoding of whole texts as a tree reduction.
 
 The encodings of adjacent texts form a monoid: a text is halved until the parts are short, the parts are
-encoded, and neighbours are joined by encoding anew a window around their border. The window grows on
-both sides until it begins and ends where white space follows another character. No match of the splitting
-pattern holds white space after another character, so each such place ends a match whatever surrounds
-it, and matches are encoded separately: all tokens outside the window are those of the whole text. A part without such
-a place is encoded anew whole. Decoding concatenates the decoded parts up a tree.
+encoded, and neighbours are joined by encoding anew a window around their border. A window begins and ends at a space behind
+another character. It is wide enough when everything outside it has settled on both sides: the next wider window gives the same tokens
+for the stretches between the two, the parts themselves have those tokens there, and the splitting pattern, applied to the wider window, ends a match at
+both places. From a place where a match ends the rest of a text is split alike whatever precedes it, as long as the pattern does not look behind; so the
+tokens outside are those of the whole text. A window that has not settled grows, up to the whole of both parts. Patterns that look behind or at
+the ends of lines or texts are refused. Decoding concatenates the decoded parts up a tree.
 
 The rank file is read on the driver from the path given and broadcast: its size is checked.
 """
@@ -20,13 +21,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelnet.llm.textkernel import releasing
 
 MOST_RANK_BYTES = 64 << 20
-LEAF = 1 << 14
+LEAF = 1 << 11
 WINDOW = 64
 KINDS = {"n_tokens": "long", "ids": "array<int>", "decoded": "binary", "ids_sha256": "string", "decoded_sha256": "string"}
 _ARROW = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.binary(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
@@ -55,46 +57,65 @@ def _encoding(ranks: bytes, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
 
 
-def _settled(text: str, at: int) -> bool:
-    return text[at] in " \n" and not text[at - 1].isspace()
-
-
 def _before(text: str, lo: int, mid: int) -> int:
-    """The last place in (lo, mid) where a match ends whatever surrounds it, else lo."""
-    width = WINDOW
-    while True:
-        edge = max(lo, mid - width)
-        for at in range(mid - 1, edge, -1):
-            if _settled(text, at):
-                return at
-        if edge == lo:
-            return lo
-        width *= 2
+    """The last space behind another character in (lo, mid), else lo."""
+    at = text.rfind(" ", lo + 1, mid)
+    while at > lo and text[at - 1].isspace():
+        at = text.rfind(" ", lo + 1, at)
+    return max(at, lo)
 
 
 def _after(text: str, mid: int, hi: int) -> int:
     """The first such place in (mid, hi), else hi."""
-    width = WINDOW
-    while True:
-        edge = min(hi, mid + width)
-        for at in range(mid + 1, edge):
-            if _settled(text, at):
-                return at
-        if edge == hi:
-            return hi
-        width *= 2
-
-
-def encode_tree(text: str, encode: Callable[[str], np.ndarray], leaf: int = LEAF, lo: int = 0, hi: int | None = None) -> np.ndarray:
+    at = text.find(" ", mid + 1, hi)
+    while at > 0 and text[at - 1].isspace():
+        at = text.find(" ", at + 1, hi)
+    return at if at > 0 else hi
+
+
+def _same(a: np.ndarray, *parts: np.ndarray) -> bool:
+    return len(a) == sum(map(len, parts)) and bool((a == np.concatenate(parts)).all())
+
+
+Encode = Callable[[str], np.ndarray]
+
+
+def _joined(text: str, left: np.ndarray, right: np.ndarray, lo: int, mid: int, hi: int, encode: Encode, split: regex.Pattern) -> np.ndarray:
+    """The tokens of text[lo:hi] from those of its two parts."""
+    begin, end = _before(text, lo, mid), _after(text, mid, hi)
+    while begin > lo or end < hi:
+        outer, last = _before(text, lo, begin), _after(text, end, hi)
+        before, tail, middle, head, behind = (encode(text[i:j]) for i, j in ((outer, begin), (begin, mid), (begin, end), (mid, end), (end, last)))
+        ends = {outer + m.end() for m in split.finditer(text[outer:last])} | {lo, hi}
+        own = len(before) + len(tail)
+        if (
+            begin in ends
+            and end in ends
+            and _same(encode(text[outer:last]), before, middle, behind)
+            and _same(left[len(left) - own :], before, tail)
+            and _same(right[: len(head) + len(behind)], head, behind)
+        ):
+            return np.concatenate((left[: len(left) - len(tail)], middle, right[len(head) :]))
+        begin, end = outer, last
+    return encode(text[lo:hi])
+
+
+def encode_tree(text: str, encode: Encode, split: regex.Pattern, leaf: int = LEAF, lo: int = 0, hi: int | None = None) -> np.ndarray:
     """The token ids of text[lo:hi], by halves."""
     hi = len(text) if hi is None else hi
     if hi - lo <= leaf:
         return encode(text[lo:hi])
     mid = (lo + hi) // 2
-    left, right = encode_tree(text, encode, leaf, lo, mid), encode_tree(text, encode, leaf, mid, hi)
-    begin, end = _before(text, lo, mid), _after(text, mid, hi)
-    cut, skip = len(encode(text[begin:mid])), len(encode(text[mid:end]))
-    return np.concatenate((left[: len(left) - cut], encode(text[begin:end]), right[skip:]))
+    return _joined(text, encode_tree(text, encode, split, leaf, lo, mid), encode_tree(text, encode, split, leaf, mid, hi), lo, mid, hi, encode, split)
+
+
+@lru_cache(maxsize=4)
+def splitter(pattern: str) -> regex.Pattern:
+    """The compiled pattern, if matches depend on nothing that precedes them."""
+    bare = regex.sub(r"\\\\|\[\^", "", pattern)
+    if regex.search(r"\(\?<[=!]|\\[bBAzZGmM]|[\^$]", bare):
+        raise ValueError(f"the pattern {pattern!r} looks behind or at the ends of lines or texts")
+    return regex.compile(pattern)
 
 
 def decode_tree(ids: np.ndarray, decode: Callable[[list[int]], bytes], leaf: int = LEAF) -> bytes:
@@ -108,12 +129,12 @@ def decode_tree(ids: np.ndarray, decode: Callable[[list[int]], bytes], leaf: int
 def _coder(ranks, pattern: str, columns: tuple[str, ...], text_at: int | None, ids_at: int | None):
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _encoding(ranks.value, pattern)
+        coder, split = _encoding(ranks.value, pattern), splitter(pattern)
         for batch in batches:
             out: dict[str, list] = {c: [] for c in columns}
             for value in batch.column(text_at if ids_at is None else ids_at):
                 if ids_at is None:
-                    ids = encode_tree(value.as_py() or "", coder.encode_to_numpy).astype("<u4", copy=False)
+                    ids = encode_tree(value.as_py() or "", coder.encode_to_numpy, split).astype("<u4", copy=False)
                 else:
                     ids = np.asarray(value.as_py() or [], "<u4")
                 decoded = decode_tree(ids, coder.decode_bytes) if {"decoded", "decoded_sha256"} & {*columns} else b""
@@ -134,6 +155,7 @@ def _coder(ranks, pattern: str, columns: tuple[str, ...], text_at: int | None, i
 
 
 def _apply(df: DataFrame, vocabulary: Vocabulary, columns: tuple[str, ...], text: str | None, ids: str | None) -> DataFrame:
+    splitter(vocabulary.pattern)
     ranks = df.sparkSession.sparkContext.broadcast(vocabulary.read())
     taken = text or ids
     df = df.drop(*(c for c in columns if c != taken))

@@ -67,12 +67,35 @@ def coder():
     return bpe._encoding(v.read(), v.pattern)
 
 
+#: Another public pattern, whose matches may hold a line break behind a mark, and one whose matches hold two words and a space.
+PATTERNS = (
+    None,
+    r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+",
+    r"\p{L}+ \p{L}+|\p{L}+|[.!]+\n?| +|\s|.",
+)
+
+
+@pytest.mark.parametrize("pattern", PATTERNS)
 @settings(max_examples=300, deadline=None)
-@given(st.text(st.sampled_from(list("ab'rel lsvt  \n\n\t\r\x0b\x85 　 1é漢🙂.!")), max_size=120), st.integers(1, 40))
-def test_tree_encoding_is_the_whole_text_s(coder, text, leaf):
-    ids = bpe.encode_tree(text, coder.encode_to_numpy, leaf)
-    assert ids.tolist() == coder.encode_ordinary(text)
-    assert bpe.decode_tree(ids, coder.decode_bytes, 3) == text.encode()
+@given(st.text(st.sampled_from(list("ab'rel lsvt  \n\n\t\r\x0b\x85 　 1é漢🙂.!")), max_size=120), st.integers(1, 40))
+def test_tree_encoding_is_the_whole_text_s(coder, pattern, text, leaf):
+    own = coder if pattern is None else bpe._encoding(public_vocabulary().read(), pattern)
+    ids = bpe.encode_tree(text, own.encode_to_numpy, bpe.splitter(pattern or public_vocabulary().pattern), leaf)
+    assert ids.tolist() == own.encode_ordinary(text)
+    assert bpe.decode_tree(ids, own.decode_bytes, 3) == "".join(m[0] for m in bpe.splitter(pattern or public_vocabulary().pattern).finditer(text)).encode()
+
+
+def test_windows_stay_small_on_prose(coder):
+    rng, seen = random.Random(1), []
+    text = " ".join(rng.choice(["alpha", "don't", "x.\n", "42", "bêta", "a  b"]) for _ in range(20000))
+    ids = bpe.encode_tree(text, lambda t: (seen.append(len(t)), coder.encode_to_numpy(t))[1], bpe.splitter(public_vocabulary().pattern), 500)
+    assert ids.tolist() == coder.encode_ordinary(text) and max(seen) <= 500 and sum(seen) < 2 * len(text)
+
+
+@pytest.mark.parametrize("pattern", [r"(?<=a)b|.", r"\bx|.", r"^a|.", r"a$|."])
+def test_patterns_that_look_behind_are_refused(pattern):
+    with pytest.raises(ValueError, match="looks behind"):
+        bpe.splitter(pattern)
 
 
 def test_encoding_tables(spark, messy, nothing, coder):
