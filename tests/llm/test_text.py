@@ -53,7 +53,55 @@ def test_rules_and_verdicts(spark, messy, nothing):
     out = quality.judge(messy)
     assert out.count() == messy.count() and quality.judge(nothing).count() == 0
     few = quality.judge(spark.createDataFrame(rows[:5], "doc_id long, text string, lang string, source string")).collect()
-    assert all(r.kept and r.distance is None for r in few)
+    assert all(r.kept and 0 <= r.distance < 1 for r in few)  # a small group is judged too, by about the corpus's spread
+    own = quality.judge(spark.createDataFrame([*rows, (900, rows[0][1], "de", None), (901, "?!;: " * 60 + rows[1][1], None, "s")], "doc_id long, text string, lang string, source string")).collect()
+    assert {r.doc_id: r.kept for r in own if r.doc_id > 899} == {900: True, 901: False}  # groups of one row
+
+
+def lowest(x, share):
+    """The least value that has the share of the values at or below it."""
+    return np.sort(x, axis=0)[max(math.ceil(share * len(x)) - 1, 0)]
+
+
+def test_estimates_equal_brute_force(spark):
+    """Distances are those of concentration steps done one group at a time; of all subsets of small groups, the least determinant is found nearly always and never undercut."""
+    rng, rules = np.random.default_rng(13), quality.Rules()
+    groups = {f"g{k}": rng.normal(0, 1, (n, 6)) @ rng.normal(0, 0.6, (6, 6)) + 1 for k, n in enumerate([9] * 10 + [1, 2, 60, 300])}
+    for x in groups.values():
+        x[: len(x) // 6] += 15
+    every = np.concatenate(list(groups.values()))
+    rows = spark.createDataFrame([(g, *map(float, r)) for g, x in groups.items() for r in x], "group string, " + ", ".join(f"x{i} double" for i in range(6))).repartition(4)
+    params, n = quality.estimates(rows, rules)
+    got = {r.group: r for r in params.collect()}
+    assert n == len(got) == len(groups)
+    spread = lambda x: np.maximum((lowest(x, 0.75) - lowest(x, 0.25)) / 1.349, rules.floors)
+    prior = lowest(every, 0.5), spread(every)
+    scale, least_found = quality.consistency(rules), 0
+    fitted = lambda x: quality.combined(len(x), x.mean(0), np.cov(x.T, bias=True).reshape(6, 6), prior, rules, scale)
+    logdet = lambda e: np.linalg.slogdet(e[1])[1]
+    distance = lambda x, e: np.einsum("ij,jk,ik->i", x - e[0], np.linalg.inv(e[1]), x - e[0])
+    for g, x in groups.items():
+        z = (x - lowest(x, 0.5)) / spread(x)
+        r2 = (z**2).sum(1)
+        inner = z[r2 <= quality.chi2_quantile(0.5, 6)]
+        scores = [np.tanh(z).T @ np.tanh(z), (z / np.maximum(r2, 1e-12)[:, None]).T @ z, inner.T @ inner]
+        tried = quality.started(len(x), lowest(x, 0.5), spread(x), scores, prior, rules)
+        step = lambda e: fitted(x[distance(x, e) <= lowest(distance(x, e), rules.cover) + 1e-12])  # noqa: B023, E731
+        for _ in range(rules.start_steps):
+            tried = [step(e) for e in tried]
+        best = min(tried, key=logdet)
+        while logdet(after := step(best)) < logdet(best) - rules.gain:
+            best = after
+        white = np.array(got[g].white).reshape(6, 6)
+        assert math.isclose(got[g].logdet, logdet(best), abs_tol=1e-6)
+        assert np.allclose(((x - got[g].centre) @ white.T) ** 2 @ np.ones(6), distance(x, best), rtol=1e-6, atol=1e-8)
+        if len(x) == 9:
+            least = min(logdet(fitted(x[list(some)])) for some in itertools.combinations(range(9), 7))
+            assert got[g].logdet >= least - 1e-9
+            least_found += math.isclose(got[g].logdet, least, abs_tol=1e-6)
+    assert least_found >= 8
+    far = distance(groups["g13"], (np.array(got["g13"].centre), np.linalg.inv(np.array(got["g13"].white).reshape(6, 6).T @ np.array(got["g13"].white).reshape(6, 6))))
+    assert (far[:50] > quality.chi2_quantile(1 - rules.tail, 6)).all() and (far[50:] < quality.chi2_quantile(1 - rules.tail, 6)).all()
 
 
 def test_chi_squared_quantiles():
