@@ -44,7 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     told = saved(minhash.near_duplicates(docs, NEAR).filter("doc_id is not null").select("doc_id", "kept"))
     gone = told.filter("not kept").select("doc_id").distinct()
-    out = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    out = docs.select(*COLUMNS).join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)  # their number grows with the corpus: no broadcast
     again = told.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if again.isEmpty():
         return out

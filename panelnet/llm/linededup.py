@@ -134,7 +134,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     gone = _extended(match, "doc_id", "text_hash").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("__panelnet_gone"))
     gone = saved(gone.withColumnsRenamed({"doc_id": "__panelnet_id", "text_hash": "__panelnet_text"}))
     out = docs.withColumns({"__panelnet_id": F.col(id_col).cast("long"), "__panelnet_text": F.xxhash64(F.col(text_col).cast("string"))})
-    out = out.join(gone, ["__panelnet_id", "__panelnet_text"], "left")
+    out = out.join(gone.hint("merge"), ["__panelnet_id", "__panelnet_text"], "left")  # deletions grow with the corpus: no broadcast
     runs = F.col("__panelnet_gone")
     kept = _bound(F.split(F.col(text_col), "\n"), lambda lines: F.array_join(_outside(runs, lines), "\n"))
     text = F.when(runs.isNull(), F.col(text_col)).otherwise(kept)

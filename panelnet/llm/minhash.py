@@ -267,16 +267,17 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id"
         single = single.dropDuplicates(["doc_id", "set_a", "set_b"])
     single = saved(single.select(F.col("doc_id").alias("id"), "set_a", "n_shingles", "bands", "sig"))
 
-    member = single.select("id", "set_a", "n_shingles", "sig", F.explode("bands").alias("key"))
-    shared = saved(single.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
+    member = single.select("id", "set_a", F.explode("bands").alias("key"))
+    shared = saved(member.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
     rows = shared.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    member = member.join(shared, "key").withColumn("n_blocks", F.ceil(F.col("size") / near.block_rows)).drop("size", "set_a")
+    member = member.join(shared, "key").select("id", "set_a", "key", F.ceil(F.col("size") / near.block_rows).alias("n_blocks"))
+    member = member.join(single.drop("bands"), ["id", "set_a"]).drop("set_a")
     family = saved(components(_forest(member, near, False, 1 + rows // near.slot_rows)).select(F.col("node").alias("id"), F.col("component").alias("key")))
 
     signed = saved(family.join(single.drop("bands"), "id"))
     load = signed.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / near.block_rows), F.ceil(F.sum("n_shingles") / near.block_shingles)).alias("n_blocks"))
     shingles_in_all = signed.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    whole = texts.join(signed.join(load, "key").withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "text", "set_a", "key", "n_blocks", "n_shingles", "sig")
+    whole = texts.join(signed.join(load, "key").withColumnRenamed("id", "doc_id").hint("merge"), "doc_id").select("doc_id", "text", "set_a", "key", "n_blocks", "n_shingles", "sig")
     if repeated:
         whole = whole.dropDuplicates(["doc_id", "set_a", "text"])
     sets = whole.mapInArrow(_setter(near), "id long, key long, n_blocks long, n_shingles long, sig binary, shingles binary")
