@@ -1,7 +1,8 @@
 """Delimited members of a remote ZIP archive, read by byte ranges: a data source with pushed filters.
 
-Only the archive's directory and the wanted members are fetched. The archive may be on a server that answers
-range requests, or any file. One member is one partition: its compressed stream has no inner starting points.
+One request for the archive's tail tells its size and, mostly, its whole directory; each wanted member is then one ranged response, decompressed as it
+arrives and taken up where it stopped if the connection breaks. Nothing else is fetched and nothing is kept. The archive may be on a server that
+answers range requests, or any file. One member is one partition: its compressed stream has no inner starting points.
 
     register(spark)
     spark.read.format("zip_range").option("urls", "https://a/x.zip https://b/x.zip").option("member", "Y48112027") \\
@@ -10,110 +11,178 @@ range requests, or any file. One member is one partition: its compressed stream
 
 from __future__ import annotations
 
+import codecs
 import csv
-import io
 import os
-import time
-import urllib.error
+import struct
 import urllib.request
-import zipfile
-from collections import OrderedDict
+import zlib
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from typing import BinaryIO
 
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringContains
 
-BLOCK = 4 << 20
-BLOCKS_KEPT = 6
-ATTEMPTS = 4
+CHUNK = 1 << 18
+#: The end record and the longest comment behind it.
+TAIL = 22 + 65535
+#: Broken responses in a row that brought nothing.
+FRUITLESS = 3
+#: Fixed values of the format: signatures of the end record, its 64-bit locator and record, a directory entry and a member.
+END, LOCATOR, END64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x07", b"PK\x06\x06", b"PK\x01\x02", b"PK\x03\x04"
+STORED, DEFLATED = 0, 8
 
 
-class Ranges(io.RawIOBase):
-    """A seekable file whose bytes come in blocks from ``fetch(lo, hi)``; the last few blocks are kept."""
+class Remote:
+    """Bytes at a place: ``size`` and the tail are known after the first request; ``fetched`` counts what came."""
 
-    def __init__(self, size: int, fetch):
-        self.size, self.fetch, self.at, self.fetched = size, fetch, 0, 0
-        self.blocks: OrderedDict[int, bytes] = OrderedDict()
+    def __init__(self, url: str):
+        self.url, self.fetched = url, 0
+        with self._opened(f"-{TAIL}") as answer:
+            self.size = self._size(answer)
+            self.tail = answer.read()
+        self.fetched += len(self.tail)
 
-    def readable(self) -> bool:
-        return True
+    def _opened(self, span: str) -> BinaryIO:
+        return urllib.request.urlopen(urllib.request.Request(self.url, headers={"Range": f"bytes={span}"}), timeout=120)
 
-    def seekable(self) -> bool:
-        return True
-
-    def tell(self) -> int:
-        return self.at
-
-    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
-        self.at = offset + (0, self.at, self.size)[whence]
-        return self.at
-
-    def readinto(self, buffer) -> int:
-        if self.at >= self.size:
-            return 0
-        number, start = divmod(self.at, BLOCK)
-        if number not in self.blocks:
-            data = self.fetch(number * BLOCK, min((number + 1) * BLOCK, self.size))
-            while len(self.blocks) >= BLOCKS_KEPT:
-                self.blocks.popitem(last=False)
-            self.blocks[number] = data
-            self.fetched += len(data)
-        part = self.blocks[number][start : start + len(buffer)]
-        buffer[: len(part)] = part
-        self.at += len(part)
-        return len(part)
-
-
-def _http(url: str) -> Ranges:
-    def get(span: str):
-        return urllib.request.urlopen(urllib.request.Request(url, headers={"Range": f"bytes={span}"}), timeout=120)
-
-    with get("0-0") as answer:
+    def _size(self, answer) -> int:
         told = answer.headers.get("Content-Range")
         if answer.status != 206 or not told:
-            raise OSError(f"{url} does not serve byte ranges")
-        size = int(told.rpartition("/")[2])
-
-    def fetch(lo: int, hi: int) -> bytes:
-        for attempt in range(ATTEMPTS):
+            raise OSError(f"{self.url} does not serve byte ranges")
+        return int(told.rpartition("/")[2])
+
+    def stream(self, lo: int, hi: int) -> Iterator[bytes]:
+        """The bytes from lo up to hi, in one response as long as it holds; a further one begins where the last one broke off."""
+        failed = 0
+        while lo < hi:
+            began = lo
             try:
-                with get(f"{lo}-{hi - 1}") as answer:
-                    return answer.read()
-            except (urllib.error.URLError, TimeoutError, ConnectionError):
-                if attempt == ATTEMPTS - 1:
+                with self._opened(f"{lo}-{hi - 1}") as answer:
+                    while lo < hi and (data := answer.read(min(CHUNK, hi - lo))):
+                        lo += len(data)
+                        self.fetched += len(data)
+                        yield data
+            except OSError:
+                if failed == FRUITLESS:
                     raise
-                time.sleep(2**attempt)
-        raise AssertionError
-
-    return Ranges(size, fetch)
-
-
-def _local(path: str) -> Ranges:
-    def fetch(lo: int, hi: int) -> bytes:
-        with open(path, "rb") as file:
-            file.seek(lo)
-            return file.read(hi - lo)
-
-    return Ranges(os.path.getsize(path), fetch)
-
-
-def open_ranges(url: str) -> Ranges:
-    return _http(url) if url.startswith(("http://", "https://")) else _local(url.removeprefix("file://"))
-
-
-def open_archive(urls: Sequence[str]) -> tuple[Ranges, zipfile.ZipFile]:
+            failed = 0 if lo > began else failed + 1
+            if failed > FRUITLESS:
+                raise OSError(f"{self.url} gives nothing from byte {lo} on")
+
+    def part(self, lo: int, hi: int) -> bytes:
+        if lo >= self.size - len(self.tail):
+            at = lo - self.size + len(self.tail)
+            return self.tail[at : at + hi - lo]
+        return b"".join(self.stream(lo, hi))
+
+
+class LocalFile(Remote):
+    """The same for a file."""
+
+    def _opened(self, span: str) -> BinaryIO:
+        file = open(self.url, "rb")  # noqa: SIM115
+        lo = span.partition("-")[0]
+        file.seek(int(lo) if lo else max(0, os.path.getsize(self.url) - TAIL))
+        return file
+
+    def _size(self, answer) -> int:
+        return os.path.getsize(self.url)
+
+
+@dataclass(frozen=True)
+class Entry:
+    """A member of an archive: its name, where its header lies, and its compressed bytes."""
+
+    name: str
+    method: int
+    size: int
+    offset: int
+
+
+class Archive:
+    """The directory of an archive, and its members as streams of bytes."""
+
+    def __init__(self, remote: Remote):
+        self.remote = remote
+        at = remote.tail.rfind(END)
+        if at < 0:
+            raise OSError(f"{remote.url} is no archive")
+        size, offset = struct.unpack_from("<2I", remote.tail, at + 12)
+        if 0xFFFFFFFF in (size, offset) and remote.tail[at - 20 : at - 16] == LOCATOR:
+            where = struct.unpack_from("<Q", remote.tail, at - 12)[0]
+            record = remote.part(where, where + 56)
+            if record[:4] != END64:
+                raise OSError(f"{remote.url} has no 64-bit end record where it says")
+            size, offset = struct.unpack_from("<2Q", record, 40)
+        self.entries = list(self._read(remote.part(offset, offset + size)))
+
+    @staticmethod
+    def _read(directory: bytes) -> Iterator[Entry]:
+        at = 0
+        while directory[at : at + 4] == ENTRY:
+            flags, method = struct.unpack_from("<2H", directory, at + 8)
+            size, whole, n_name, n_extra, n_comment = struct.unpack_from("<2I3H", directory, at + 20)
+            offset = struct.unpack_from("<I", directory, at + 42)[0]
+            begin = at + 46
+            name = directory[begin : begin + n_name].decode("utf-8" if flags & 0x800 else "cp437")
+            at = begin + n_name + n_extra + n_comment
+            extra = directory[begin + n_name : begin + n_name + n_extra]
+            while len(extra) >= 4:
+                kind, n = struct.unpack_from("<2H", extra)
+                if kind == 1:  # 64-bit values of those fields that are full, in this order
+                    wide = iter(struct.unpack_from(f"<{n // 8}Q", extra, 4))
+                    full = [next(wide) if x == 0xFFFFFFFF else x for x in (whole, size, offset)]
+                    _, size, offset = full
+                extra = extra[4 + n :]
+            yield Entry(name, method, size, offset)
+
+    def namelist(self) -> list[str]:
+        return [e.name for e in self.entries]
+
+    def content(self, name: str) -> Iterator[bytes]:
+        """A member's bytes, decompressed as they arrive."""
+        entry = next(e for e in self.entries if e.name == name)
+        if entry.method not in (STORED, DEFLATED):
+            raise OSError(f"{name} is compressed by method {entry.method}")
+        head = self.remote.part(entry.offset, entry.offset + 30)
+        if head[:4] != LOCAL:
+            raise OSError(f"{name} does not lie where the directory says")
+        begin = entry.offset + 30 + sum(struct.unpack_from("<2H", head, 26))
+        inflate = zlib.decompressobj(-zlib.MAX_WBITS) if entry.method == DEFLATED else None
+        for data in self.remote.stream(begin, begin + entry.size):
+            yield inflate.decompress(data) if inflate else data
+        if inflate:
+            yield inflate.flush()
+
+    def lines(self, name: str) -> Iterator[str]:
+        """A member's lines with their ends, by line feeds; a byte order mark goes."""
+        decoder, rest = codecs.getincrementaldecoder("utf-8-sig")(), ""
+        for data in self.content(name):
+            *whole, rest = (rest + decoder.decode(data)).split("\n")
+            yield from (line + "\n" for line in whole)
+        if rest := rest + decoder.decode(b"", True):
+            yield rest
+
+
+def open_ranges(url: str) -> Remote:
+    return Remote(url) if url.startswith(("http://", "https://")) else LocalFile(url.removeprefix("file://"))
+
+
+def open_archive(urls: Sequence[str]) -> tuple[Remote, Archive]:
     """The first of the mirrors that opens as an archive."""
     failed = []
     for url in urls:
         try:
-            file = open_ranges(url)
-            return file, zipfile.ZipFile(io.BufferedReader(file, 1 << 20))
-        except (OSError, zipfile.BadZipFile) as e:
+            remote = open_ranges(url)
+            return remote, Archive(remote)
+        except (OSError, struct.error) as e:
             failed.append(f"{url}: {e}")
     raise OSError("no mirror works: " + "; ".join(failed))
 
 
-def member_names(archive: zipfile.ZipFile, codes: Sequence[str]) -> dict[str, str]:
+def member_names(archive: Archive, codes: Sequence[str]) -> dict[str, str]:
     """For each code the first CSV member whose name contains it."""
     names = [n for n in archive.namelist() if n.lower().endswith(".csv")]
     found = {code: next((n for n in names if code in n), None) for code in codes}
@@ -154,15 +223,14 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         _, archive = open_archive(partition.urls)
-        with archive.open(partition.name) as raw:
-            rows = csv.reader(io.TextIOWrapper(raw, encoding="utf-8-sig", newline=""), delimiter=self.sep)
-            header = next(rows, [])
-            at = [header.index(f.name) if f.name in header else None for f in self.schema]
-            cast = [_CASTS.get(type(f.dataType), str) for f in self.schema]
-            tests = [(header.index(n), kind, v) for n, kind, v in self.tests if n in header]  # a column that is missing filters nothing
-            for row in rows:
-                if all(row[i] in v if kind == "in" else v[0] in row[i] for i, kind, v in tests):
-                    yield tuple(None if i is None or row[i] == "" else c(row[i]) for i, c in zip(at, cast, strict=True))
+        rows = csv.reader(archive.lines(partition.name), delimiter=self.sep)
+        header = next(rows, [])
+        at = [header.index(f.name) if f.name in header else None for f in self.schema]
+        cast = [_CASTS.get(type(f.dataType), str) for f in self.schema]
+        tests = [(header.index(n), kind, v) for n, kind, v in self.tests if n in header]  # a column that is missing filters nothing
+        for row in rows:
+            if row and all(row[i] in v if kind == "in" else v[0] in row[i] for i, kind, v in tests):
+                yield tuple(None if i is None or row[i] == "" else c(row[i]) for i, c in zip(at, cast, strict=True))
 
 
 _CASTS = {T.IntegerType: int, T.LongType: int, T.DoubleType: float}

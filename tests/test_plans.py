@@ -1,6 +1,9 @@
 import json
+import random
+import threading
 import zipfile
 from datetime import date, datetime
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 
@@ -34,6 +37,46 @@ def test_zip_members_are_read_by_ranges_with_pushed_filters(spark, tmp_path):
         open_archive(["/nowhere.zip"])
 
 
+class Ranged(BaseHTTPRequestHandler):
+    """Serves ``data`` by ranges, and breaks off every other response after ``most`` bytes."""
+
+    data, most, asked = b"", 1 << 30, []
+
+    def do_GET(self):  # noqa: N802
+        lo, _, hi = self.headers["Range"].removeprefix("bytes=").partition("-")
+        size = len(self.data)
+        lo, hi = (max(0, size - int(hi)), size) if not lo else (int(lo), int(hi) + 1)
+        self.asked.append((lo, hi))
+        self.send_response(206)
+        self.send_header("Content-Range", f"bytes {lo}-{hi - 1}/{size}")
+        self.send_header("Content-Length", str(hi - lo))
+        self.end_headers()
+        self.wfile.write(self.data[lo:hi][: self.most if len(self.asked) % 2 else None])
+
+    def log_message(self, *_):
+        pass
+
+
+@pytest.mark.parametrize("method", [zipfile.ZIP_DEFLATED, zipfile.ZIP_STORED])
+def test_members_are_streamed_over_http_and_taken_up_again(tmp_path, method):
+    rng, path = random.Random(2), tmp_path / "x.zip"
+    body = "a;b\n" + "".join(f"{rng.random()};ж\r\n" for _ in range(40000))
+    with zipfile.ZipFile(path, "w", method) as z:
+        z.writestr("big.bin", rng.randbytes(300_000))
+        with z.open("d/data_Y1.csv", "w", force_zip64=True) as member:
+            member.write(b"\xef\xbb\xbf" + body.encode())
+        z.writestr("last.txt", rng.randbytes(100_000))
+    Ranged.data, Ranged.most, Ranged.asked = path.read_bytes(), 70_000, []
+    server = HTTPServer(("127.0.0.1", 0), Ranged)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        remote, archive = open_archive([f"http://127.0.0.1:{server.server_port}/x.zip"])
+        assert "".join(archive.lines("d/data_Y1.csv")) == body
+        assert remote.size == len(Ranged.data) and all(lo >= 300_000 for lo, _ in Ranged.asked) and len(Ranged.asked) > 3
+    finally:
+        server.shutdown()
+
+
 def test_delimiters_are_found_and_bad_numbers_go(spark, tmp_path):
     (tmp_path / "a.csv").write_text("a;b\n1;2\n")
     assert tables.load_table(spark, str(tmp_path / "a.csv")).columns == ["a", "b"]
