@@ -35,6 +35,18 @@ def attach(rows: DataFrame, codes: DataFrame, code: str = "code", stable: str =
     return out.filter("entity is not null").drop("_a", "_b")
 
 
+def of_period(rows: DataFrame, year: int, period: str | None = None, period_col: str = "indicator_period") -> DataFrame:
+    """Rows of one year and, if given, of one period in it; a null year or period is of none."""
+    rows = rows.filter(F.col("year") == year)
+    return rows if period is None else rows.filter(F.col(period_col) == period)
+
+
+def jobs_per_100(jobs: DataFrame, population: DataFrame) -> DataFrame:
+    """(entity, jobs_per_100) from (entity, jobs) and (entity, population): null without either or without residents."""
+    both = population.select("entity", "population").join(jobs.select("entity", "jobs"), "entity", "left")
+    return both.select("entity", (100 * safe(F.col("jobs"), F.col("population"))).alias("jobs_per_100"))
+
+
 def urban_share(population: DataFrame, members: DataFrame, everyone: str, urban: str) -> DataFrame:
     """(entity, population, urban_share) from rows (entity, place, value): percent; no urban row counts as 0 where the population is known."""
     p = population.groupBy("entity").agg(F.sum(F.when(F.col("place") == everyone, F.col("value"))).alias("population"), F.sum(F.when(F.col("place") == urban, F.col("value"))).alias("urban"))
@@ -65,6 +77,17 @@ def compare(table: DataFrame, group: str, columns: list[str], least_share: float
     return validity.kruskal(table.unpivot([group], columns, "g", "x").select("g", F.col(group).alias("grp"), "x"), least_share)
 
 
+def side_by_side(first: DataFrame, second: DataFrame, names: tuple[str, str]) -> DataFrame:
+    """(g, n, and for each of the two tables of effects its k, h and epsilon2, suffixed by its name): indicators that both have."""
+    told = lambda df, name: df.select("g", *(F.col(c).alias(f"{c}_{name}") for c in ("k", "h", "epsilon2")))
+    return first.select("g", "n").join(told(first, names[0]), "g").join(told(second, names[1]), "g")
+
+
+def two_levels(table: DataFrame, level: str, macro: str, columns: list[str], least_share: float = 0.5) -> DataFrame:
+    """compare() of each column by the groups of a level and by the groups of groups, side by side."""
+    return side_by_side(compare(table, level, columns, least_share), compare(table, macro, columns, least_share), (level, macro))
+
+
 def with_p(effects: DataFrame) -> DataFrame:
     """Effects (one row an indicator) with the p value of H, by a pandas UDF over this small table."""
     @F.pandas_udf("double")

@@ -214,6 +214,8 @@ def component_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> Da
         label = new.drop("was")
         if not changed:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return label.withColumnRenamed("c", "component")
 
 

@@ -65,9 +65,9 @@ def smallest(rows: DataFrame, by: str, n: int, *order: Column | str) -> DataFram
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= n)
 
 
-def exemplars(measured: DataFrame, n: int = 8) -> DataFrame:
-    """Of each modal type the n entities nearest its centre that never changed type."""
-    return smallest(measured.filter("n_changes = 0"), "modal", n, "distance", "entity")
+def exemplars(measured: DataFrame, n: int = 8, most_changes: int = 0) -> DataFrame:
+    """Of each modal type the n entities nearest its centre that never changed type, or at most ``most_changes`` times."""
+    return smallest(measured.filter(F.col("n_changes") <= most_changes), "modal", n, "distance", "entity")
 
 
 def boundary_cases(summary: DataFrame, n: int = 3) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelnet.operators import clustering as clu
@@ -61,11 +64,11 @@ def kmeans_scan(spark, d):
     vecs = _vecs(spark, d)
     edges = _edges(_graph(vecs))
     out = []
-    for k in (3, 4, 5):
+    for k in range(3, 11):
         points = saved(_points(vecs).join(clu.kmeans(_points(vecs), k), ["g", "id"]))
         b = val.bundle(points, edges)
         out.append(b.agg(*(F.avg(c).alias(c) for c in ("sw", "ch", "s_dbw", "avi", "avu", "q"))).withColumn("k", F.lit(k)))
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    return reduce(DataFrame.unionByName, out)
 
 
 @query()
@@ -166,7 +169,7 @@ def surrogate_tree(spark, d):
 def subsample_stability(spark, d):
     vecs = _vecs(spark, d)
     base = _base_modal(_base(vecs, _graph(vecs)))
-    ari, jaccard = paths.subsample_stability(vecs, base, K, KNN, ALPHA, N_PERIODS, repeats=4)
+    ari, jaccard = paths.subsample_stability(vecs, base, K, KNN, ALPHA, N_PERIODS)
     return jaccard.crossJoin(ari.agg(F.avg("ari").alias("ari_mean"), F.min("ari").alias("ari_least")))
 
 
@@ -174,7 +177,7 @@ def subsample_stability(spark, d):
 def k_choice(spark, d):
     vecs = _vecs(spark, d)
     mean = saved(net.mean_graph(_graph(vecs), F.lit(N_PERIODS)))
-    return paths.k_choice(vecs, mean, [3, 4], repeats=5)
+    return paths.k_choice(vecs, mean, list(range(3, 11)), repeats=30)
 
 
 @query()
@@ -184,12 +187,10 @@ def sensitivity(spark, d):
     edges = _graph(vecs)
     base = _base_modal(_base(vecs, edges))
     named = lambda name: vecs.withColumn("s", F.lit(name))
-    runs = [paths.path(named(f"k={k}"), paths.knn(named(f"k={k}"), k), K, F.lit(ALPHA), N_PERIODS) for k in (4, 8)]
-    runs += [paths.path(named(f"alpha={a}"), edges.withColumn("s", F.lit(f"alpha={a}")), K, F.lit(a), N_PERIODS) for a in (0.3, 0.7)]
-    runs += [paths.path(named(f"seed={s}"), edges.withColumn("s", F.lit(f"seed={s}")), K, F.lit(ALPHA), N_PERIODS, seed=s) for s in (1, 2)]
-    while len(runs) > 1:
-        runs[:2] = [runs[0].unionByName(runs[1])]
-    return paths.compared(saved(runs[0]), base)
+    runs = [paths.path(named(f"k={k}"), paths.knn(named(f"k={k}"), k), K, F.lit(ALPHA), N_PERIODS) for k in (10, 15, 20)]
+    runs += [paths.path(named(f"alpha={a}"), edges.withColumn("s", F.lit(f"alpha={a}")), K, F.lit(a), N_PERIODS) for a in (0.3, 0.5, 0.7)]
+    runs += [paths.path(named(f"seed={s}"), edges.withColumn("s", F.lit(f"seed={s}")), K, F.lit(ALPHA), N_PERIODS, seed=s) for s in range(1, 6)]
+    return paths.compared(saved(reduce(DataFrame.unionByName, runs)), base)
 
 
 @query()

@@ -68,13 +68,13 @@ def time_varying_features(spark, d):
     return rounded(net.time_varying(v.features(spark, d), DYN), ["spread"])
 
 
-_WINDOWS = "SELECT p AS t, entity AS id, l.t AS lt, f, x FROM (SELECT unnest([0, 11, 23]) AS p) w JOIN long l ON l.t >= greatest(0, least(greatest(0, p - 6), 11)) AND l.t < greatest(0, least(greatest(0, p - 6), 11)) + 12"
+_WINDOWS = "SELECT p AS t, entity AS id, l.t AS lt, f, x FROM (SELECT unnest(range(24)) AS p) w JOIN long l ON l.t >= greatest(0, least(greatest(0, p - 6), 11)) AND l.t < greatest(0, least(greatest(0, p - 6), 11)) + 12"
 _CORR = "SELECT a.t, a.id AS i, b.id AS j, coalesce(corr(a.x, b.x), 0) AS s FROM win a JOIN win b ON a.t = b.t AND a.lt = b.lt AND a.f = b.f AND a.id <> b.id GROUP BY ALL"
 
 
 @query(with_views("z", "SELECT t::INT AS t, src, dst, round(w, 6) AS w FROM edges", diff=_DIFF, long=_LONG, win=_WINDOWS, **_knn_sql(_CORR, 5)))
 def corr_window_knn(spark, d):
-    windows = net.change_windows(net.changes(v.features(spark, d), DYN), DYN, 12, N_PERIODS).filter("t in (0, 11, 23)")
+    windows = net.change_windows(net.changes(v.features(spark, d), DYN), DYN, 12, N_PERIODS)
     return rounded(net.knn_edges(windows, 5, centre=True), ["w"])
 
 
@@ -355,8 +355,7 @@ def centre_distance(spark, d):
 
 @query(with_views("whole supp_steps", "SELECT entity, modal, round(distance, 6) AS distance, row_number() OVER (PARTITION BY modal ORDER BY distance, entity)::INT AS rank FROM far WHERE n_changes <= 15 QUALIFY rank <= 8", **_SM, **{"shown": _TYPED["shown"]}, **_DISTQ))
 def exemplars(spark, d):
-    calm = _far(spark, d).withColumn("n_changes", F.when(F.col("n_changes") <= 15, 0).otherwise(F.col("n_changes")))
-    return rounded(pro.exemplars(calm, 8).select("entity", "modal", "distance", "rank"), ["distance"])
+    return rounded(pro.exemplars(_far(spark, d), 8, most_changes=15).select("entity", "modal", "distance", "rank"), ["distance"])
 
 
 @query(with_views("supp_steps", "SELECT entity, modal, round(share, 6) AS share, row_number() OVER (PARTITION BY modal ORDER BY round(share, 9), entity)::INT AS rank FROM ssum QUALIFY rank <= 3", **_SM))
@@ -418,6 +417,36 @@ def weighted_mean(spark, d):
     return rounded(ext.weighted_mean(rows.filter("place = 'BUILDING'"), weights), ["mean"])
 
 
+@query(with_views("", "SELECT o_custkey AS entity, o_totalprice AS value FROM orders WHERE year(o_orderdate) = 1996 AND o_orderstatus = 'O'"))
+def indicator_period(spark, d):
+    o = v.table(spark, d, "orders").select(F.col("o_custkey").alias("entity"), F.year("o_orderdate").alias("year"), F.col("o_orderstatus").alias("indicator_period"), F.col("o_totalprice").alias("value"))
+    return ext.of_period(o, 1996, "O").select("entity", "value")
+
+
+@query(with_views("", "SELECT s_suppkey AS entity, round(100 * j / nullif(p, 0), 4) AS jobs_per_100 FROM supplier LEFT JOIN (SELECT entity, sum(value) FILTER (place = 'BUILDING') AS p, sum(value) FILTER (place = 'MACHINERY') AS j FROM att GROUP BY entity) x ON x.entity = s_suppkey", **_EXT))
+def jobs_per_100(spark, d):
+    members, _, rows = indicators(spark, d)
+    jobs = ext.section_shares(rows.withColumn("section", mapped(F.col("place"), {"MACHINERY": "ALL"})), [])
+    return rounded(ext.jobs_per_100(jobs, ext.urban_share(rows, members, "BUILDING", "MACHINERY")), ["jobs_per_100"], 4)
+
+
+_LEVELS = {
+    "lv": "SELECT c_mktsegment AS kind, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'goods' ELSE 'other' END AS macro, c_acctbal AS x, rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2 AS r FROM customer WHERE c_acctbal IS NOT NULL",
+    "lt": "SELECT sum(t * t * t - t) AS ties, sum(t) AS n FROM (SELECT count(*)::DOUBLE AS t FROM lv GROUP BY x)",
+    "l1": "SELECT count(*) AS k, sum(s * s / c) AS q FROM (SELECT kind, sum(r) AS s, count(*) AS c FROM lv GROUP BY kind)",
+    "l2": "SELECT count(*) AS k, sum(s * s / c) AS q FROM (SELECT macro, sum(r) AS s, count(*) AS c FROM lv GROUP BY macro)",
+    "lh": "SELECT n, l1.k AS k1, l2.k AS k2, (12 / (n * (n + 1)) * l1.q - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h1, (12 / (n * (n + 1)) * l2.q - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h2 FROM lt, l1, l2",
+}
+
+
+@query(with_views("", "SELECT 'balance' AS g, n::BIGINT AS n, k1::BIGINT AS k_kind, round(h1, 5) AS h_kind, round((h1 - k1 + 1) / (n - k1), 8) AS epsilon2_kind, k2::BIGINT AS k_macro, round(h2, 5) AS h_macro, round((h2 - k2 + 1) / (n - k2), 8) AS epsilon2_macro FROM lh", **_LEVELS))
+def two_levels(spark, d):
+    goods = mapped(F.col("c_mktsegment"), {"BUILDING": "goods", "MACHINERY": "goods"})
+    rows = v.table(spark, d, "customer").select(F.col("c_mktsegment").alias("kind"), F.coalesce(goods, F.lit("other")).alias("macro"), F.col("c_acctbal").alias("balance"))
+    out = ext.two_levels(rows, "kind", "macro", ["balance"])
+    return rounded(rounded(out, ["h_kind", "h_macro"], 5), ["epsilon2_kind", "epsilon2_macro"], 8)
+
+
 _KW = {
     "kw": "SELECT 'price' AS g, o_orderpriority AS grp, o_totalprice AS x FROM orders UNION ALL SELECT 'quantity', l_returnflag, l_quantity FROM lineitem UNION ALL SELECT 'tax', l_returnflag, CASE WHEN l_orderkey % 3 = 0 THEN l_tax END FROM lineitem",
     "rk": "SELECT g, grp, x, rank() OVER (PARTITION BY g ORDER BY x) + (count(*) OVER (PARTITION BY g, x) - 1) / 2 AS r FROM kw WHERE x IS NOT NULL",
