@@ -127,42 +127,93 @@ def lagged_series(diffs: DataFrame, columns: list[str], entity: str = "entity",
     return got.select("id", F.transform("r", lambda x: x["v"]).alias("v"))
 
 
-def _lag_cell(max_lag: int):
+def _lag_scores(x: np.ndarray, y: np.ndarray, lags: range) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every row of x and of y the largest Pearson correlation of x at t with y at t + lag, the first such of ``lags``, and that at lag 0."""
+    span = x.shape[1]
+    best = np.full((len(x), len(y)), -np.inf)
+    arg = np.zeros(best.shape, np.int32)
+    zero = np.zeros(best.shape)
+    part = lambda z, lo, hi: (lambda flat: _unit(flat - flat.mean(axis=1, keepdims=True)))(z[:, lo:hi].reshape(len(z), -1))
+    for lag in lags:
+        s = part(x, max(0, -lag), span - max(0, lag)) @ part(y, max(0, lag), span - max(0, -lag)).T
+        if lag == 0:
+            zero = s
+        better = s > best + 1e-12
+        best[better], arg[better] = s[better], lag
+    return best, arg, zero
+
+
+def _block_pair(key: tuple[pa.Scalar, ...], table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and series of the two blocks of a cell, in order of id; of one block twice where they are the same."""
+    table = table.sort_by("id")
+    ids, own = table["id"].to_numpy(), table["block"].to_numpy() == key[0].as_py()
+    other = own if key[0].as_py() == key[1].as_py() else ~own
+    x = np.array(table["v"].to_pylist(), float)
+    return ids[own], x[own], ids[other], x[other]
+
+
+def _block_cells(series: DataFrame, block: int) -> DataFrame:
+    """The rows of (id, v) for each unordered pair (a, b) of blocks, a block paired with itself included."""
+    n = series.agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = series.crossJoin(n).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(F.least("block", "o").alias("a"), F.greatest("block", "o").alias("b"), "block", "id", "v")
+
+
+def lag_similarity(series: DataFrame, max_lag: int, block: int = 1024) -> DataFrame:
+    """(i, j, s, lag, zero) for all ordered pairs: the largest Pearson correlation of i at t with j at t + lag, the first such lag from -max_lag up, and that at lag 0.
+
+    This is the whole matrix, n x n rows by its definition; lag_nearest gives the neighbours without it.
+    """
+    ahead = range(-max_lag, max_lag + 1)
+
     def cell(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ids, own = table["id"].to_numpy(), table["block"].to_numpy() == key[0].as_py()
-        x = np.array(table["v"].to_pylist(), float)
-        other = np.ones(len(ids), bool) if key[0].as_py() == key[1].as_py() else ~own
-        left, right = np.flatnonzero(own), np.flatnonzero(other)
-        span = x.shape[1]
-        best = np.full((len(left), len(right)), -np.inf)
-        arg = np.zeros(best.shape, np.int32)
-        zero = np.zeros(best.shape)
-        part = lambda rows, lo, hi: (lambda y: _unit(y - y.mean(axis=1, keepdims=True)))(x[rows, lo:hi].reshape(len(rows), -1))
-        for lag in range(-max_lag, max_lag + 1):
-            s = part(left, max(0, -lag), span - max(0, lag)) @ part(right, max(0, lag), span - max(0, -lag)).T
-            if lag == 0:
-                zero = s
-            better = s > best + 1e-12
-            best[better], arg[better] = s[better], lag
-        i, j = np.nonzero(ids[left][:, None] != ids[right][None, :])
-        return pa.table({"i": pa.array(ids[left][i]), "j": pa.array(ids[right][j]), "s": pa.array(best[i, j]), "lag": pa.array(arg[i, j]), "zero": pa.array(zero[i, j])})
+        a, x, b, y = _block_pair(key, table)
+        out = []
+        for ids, left, others, right in [(a, x, b, y)] + [(b, y, a, x)] * (key[0] != key[1]):
+            s, lag, zero = _lag_scores(left, right, ahead)
+            i, j = np.nonzero(ids[:, None] != others[None, :])
+            out.append((ids[i], others[j], s[i, j], lag[i, j], zero[i, j]))
+        return pa.table(dict(zip(("i", "j", "s", "lag", "zero"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
-    return cell
+    return _block_cells(series, block).groupBy("a", "b").applyInArrow(cell, "i long, j long, s double, lag int, zero double")
 
 
-def lag_similarity(series: DataFrame, max_lag: int, block: int = 1024) -> DataFrame:
-    """(i, j, s, lag, zero) for ordered pairs: the largest Pearson correlation of i at t with j at t + lag, the first such lag from -max_lag up, and that at lag 0."""
-    n = series.agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = series.crossJoin(n).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    mine = dealt.select(F.col("block").alias("a"), F.col("o").alias("b"), "block", "id", "v")
-    theirs = dealt.filter("o <> block").select(F.col("o").alias("a"), F.col("block").alias("b"), "block", "id", "v")
-    return mine.unionByName(theirs).groupBy("a", "b").applyInArrow(_lag_cell(max_lag), "i long, j long, s double, lag int, zero double")
+def lag_nearest(series: DataFrame, max_lag: int, k: int, block: int = 1024) -> DataFrame:
+    """(t = 0, i, j, s, lag, back, zero, rank): for each i the k partners of the largest lagged correlation in either direction.
+
+    lag is that of i to j, back that of j to i, each the first from -max_lag up. A cell holds both directions of its two blocks, so
+    it returns k rows for each of its series and never the pairs. Ties go to the smaller id.
+    """
+    ahead = range(-max_lag, max_lag + 1)
 
+    def top(s: np.ndarray, ids: np.ndarray, others: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+        at = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        ok = np.isfinite(np.take_along_axis(s, at, 1))
+        return (np.repeat(ids, at.shape[1])[ok.ravel()], others[at][ok], *(np.take_along_axis(m, at, 1)[ok] for m in (s, *more)))
 
-def undirected(pairs: DataFrame) -> DataFrame:
-    """Directed similarities with s replaced by the larger of both directions; lag and zero stay those of (i, j)."""
-    back = pairs.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("s").alias("_s"))
-    return pairs.join(back, ["i", "j"]).withColumn("s", F.greatest("s", "_s")).drop("_s")
+    def cell(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        a, x, b, y = _block_pair(key, table)
+        there, lag, zero = _lag_scores(x, y, ahead)
+        back_s, back, _ = _lag_scores(x, y, ahead[::-1])  # the lag of j to i is that of i to j, negated
+        s = np.where(a[:, None] == b[None, :], -np.inf, np.maximum(there, back_s))
+        out = [top(s, a, b, lag, -back, zero)]
+        if key[0] != key[1]:
+            out.append(top(s.T, b, a, -back.T, lag.T, zero.T))
+        return pa.table(dict(zip(("i", "j", "s", "lag", "back", "zero"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    found = _block_cells(series, block).groupBy("a", "b").applyInArrow(cell, "i long, j long, s double, lag int, back int, zero double")
+    return ranked(found.select(F.lit(0).alias("t"), "*"), k)
+
+
+def lag_statistics(best: DataFrame) -> DataFrame:
+    """(lag0, lag1, lag2, zero, best) of the symmetric graph of ``best``, as lag_nearest gives it: the shares of edges whose lag is 0, 1, and 2 or more
+    in either direction, and their mean correlations at lag 0 and at the best lag. An edge's lag is that of its smaller id to the larger one."""
+    best = best.filter((F.col("s") > 0) & (F.col("s") < float("inf")))
+    lag = F.when(F.col("i") < F.col("j"), F.col("lag")).otherwise(F.col("back"))
+    edges = best.groupBy(F.least("i", "j").alias("src"), F.greatest("i", "j").alias("dst")).agg(F.max("s").alias("w"), F.min(lag).alias("lag"), F.min("zero").alias("zero"))
+    share = lambda ok: F.avg(ok.cast("double"))
+    far = F.abs("lag")
+    return edges.agg(share(far == 0).alias("lag0"), share(far == 1).alias("lag1"), share(far >= 2).alias("lag2"), F.avg("zero").alias("zero"), F.avg("w").alias("best"))
 
 
 def distances(relation: DataFrame, kind: str, members: DataFrame | None = None, entity: str = "entity") -> DataFrame:

@@ -82,22 +82,18 @@ _LAGS = "SELECT l, a.entity AS i, b.entity AS j, corr(a.x, b.x) AS s FROM (SELEC
 _LAGBEST = "SELECT i, j, s, l AS lag, zero FROM (SELECT *, max(CASE WHEN l = 0 THEN s END) OVER (PARTITION BY i, j) AS zero FROM lags) QUALIFY row_number() OVER (PARTITION BY i, j ORDER BY round(s, 10) DESC, l) = 1"
 
 
-def lag_pairs(spark, d):
-    return net.lag_similarity(net.lagged_series(net.changes(v.features(spark, d), DYN), DYN), 2)
+def lag_series(spark, d):
+    return net.lagged_series(net.changes(v.features(spark, d), DYN), DYN)
 
 
 @query(with_views("z", "SELECT i, j, round(s, 6) AS s, lag::INT AS lag, round(zero, 6) AS zero FROM lagbest", diff=_DIFF, long=_LONG, lags=_LAGS, lagbest=_LAGBEST))
 def lag_corr_best(spark, d):
-    return rounded(lag_pairs(spark, d), ["s", "zero"])
+    return rounded(net.lag_similarity(lag_series(spark, d), 2), ["s", "zero"])
 
 
 @query(with_views("z", "SELECT round(avg(CASE WHEN abs(lag) = 0 THEN 1.0 ELSE 0 END), 6) AS lag0, round(avg(CASE WHEN abs(lag) = 1 THEN 1.0 ELSE 0 END), 6) AS lag1, round(avg(CASE WHEN abs(lag) >= 2 THEN 1.0 ELSE 0 END), 6) AS lag2, round(avg(zero), 6) AS zero, round(avg(w), 6) AS best FROM edges e JOIN lagbest l ON l.i = e.src AND l.j = e.dst", diff=_DIFF, long=_LONG, lags=_LAGS, lagbest=_LAGBEST, **_knn_sql("SELECT 0 AS t, a.i, a.j, greatest(a.s, b.s) AS s FROM lagbest a JOIN lagbest b ON b.i = a.j AND b.j = a.i", 5)))
 def lag_edge_stats(spark, d):
-    pairs = lag_pairs(spark, d)
-    edges = net.symmetric(net.ranked(net.undirected(pairs).withColumn("t", F.lit(0)), 5))
-    x = edges.join(pairs.select(F.col("i").alias("src"), F.col("j").alias("dst"), "lag", "zero"), ["src", "dst"])
-    share = lambda ok: F.avg(ok.cast("double"))
-    out = x.agg(share(F.abs("lag") == 0).alias("lag0"), share(F.abs("lag") == 1).alias("lag1"), share(F.abs("lag") >= 2).alias("lag2"), F.avg("zero").alias("zero"), F.avg("w").alias("best"))
+    out = net.lag_statistics(net.lag_nearest(lag_series(spark, d), 2, 5))
     return rounded(out, out.columns)
 
 

@@ -65,8 +65,7 @@ def network(spark: SparkSession, c: config.Pipeline) -> dict[str, DataFrame]:
     if "corr" in c.network.rules:
         out.append(net.knn_sweep(net.change_windows(net.changes(feat, moving), moving, c.network.window, n), ks, "corr", centre=True))
     if "lag" in c.network.rules:
-        pairs = net.undirected(net.lag_similarity(net.lagged_series(net.changes(feat, moving), moving), c.network.max_lag)).withColumn("t", F.lit(0))
-        best = net.ranked(pairs, max(ks))
+        best = saved(net.lag_nearest(net.lagged_series(net.changes(feat, moving), moving), c.network.max_lag, max(ks)))
         out += [net.symmetric(best, k).select(F.lit("lag").alias("rule"), F.lit(k).alias("k"), "*") for k in ks]
     if "geo" in c.network.rules:
         members = feat.select(F.col("entity").cast("long").alias("entity")).distinct()

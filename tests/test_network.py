@@ -49,6 +49,22 @@ def test_lagged_correlation_finds_the_shift(spark):
     assert got == {(1, 2): (-2, 1.0), (2, 1): (2, 1.0)}
 
 
+def test_lagged_neighbours_are_those_of_the_whole_matrix(spark):
+    rng = np.random.default_rng(3)
+    series = spark.createDataFrame([(i, rng.standard_normal((9, 2)).tolist()) for i in range(40)], "id long, v array<array<double>>")
+    pairs = {(r.i, r.j): r for r in net.lag_similarity(series, 2, block=1000).collect()}
+    assert {k: (round(r.s, 9), r.lag) for k, r in pairs.items()} == {(r.i, r.j): (round(r.s, 9), r.lag) for r in net.lag_similarity(series, 2, block=7).collect()}
+    larger = lambda i, j: max(pairs[i, j].s, pairs[j, i].s)
+    for block in (1000, 7):
+        best = net.lag_nearest(series, 2, 3, block)
+        got = best.collect()
+        assert {(r.i, r.j, r.rank) for r in got} == {(i, j, n + 1) for i in range(40) for n, j in enumerate(sorted((j for j in range(40) if j != i), key=lambda j: -larger(i, j))[:3])}
+        assert all((round(r.s, 9), r.lag, r.back, round(r.zero, 9)) == (round(larger(r.i, r.j), 9), pairs[r.i, r.j].lag, pairs[r.j, r.i].lag, round(pairs[r.i, r.j].zero, 9)) for r in got)
+        edges = {(min(r.i, r.j), max(r.i, r.j)) for r in got if r.s > 0}
+        stats = net.lag_statistics(best).first()
+        assert math.isclose(stats.lag1, sum(abs(pairs[e].lag) == 1 for e in edges) / len(edges)) and math.isclose(stats.zero, sum(pairs[e].zero for e in edges) / len(edges))
+
+
 def test_components_of_a_long_path(spark):
     nodes = spark.range(200).select(F.lit(0).alias("t"), "id")
     edges = spark.range(199).select(F.lit(0).alias("t"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).filter("src <> 99")
