@@ -157,7 +157,13 @@ def graph_components(spark, d):
     return net.component_labels(vecs.select("t", "id"), net.knn_edges(vecs, 2)).select("id", "component")
 
 
-@query()
+_REACH = {
+    "ways": "SELECT t, src AS a, dst AS b FROM edges UNION ALL SELECT t, dst, src FROM edges",
+    "reach(t, id, c)": "SELECT t, id, id FROM zv UNION SELECT r.t, b.b, r.c FROM reach r JOIN ways b ON b.t = r.t AND b.a = r.id WHERE r.c < b.b",
+}
+
+
+@query(with_views("z", "SELECT t::INT AS t, count(*)::BIGINT AS n_components, round(max(n) / sum(n), 6) AS giant_share FROM (SELECT t, c, count(*) AS n FROM (SELECT t, id, min(c) AS c FROM reach GROUP BY t, id) GROUP BY t, c) GROUP BY t", zv=_ZV, **_knn_sql(_ZPAIR, 2), **_REACH))
 def graph_component_summary(spark, d):
     vecs = net.vectors(v.features(spark, d), ALL)
     return rounded(net.component_summary(net.component_labels(vecs.select("t", "id"), net.knn_edges(vecs, 2))), ["giant_share"])
@@ -464,7 +470,10 @@ def kruskal_effect(spark, d):
     return rounded(rounded(rounded(val.kruskal(kruskal_rows(spark, d)), ["h"], 5), ["epsilon2"], 8), ["share"])
 
 
-@query()
+_P = "SELECT g, k, CASE k WHEN 3 THEN exp(-h / 2) WHEN 5 THEN exp(-h / 2) * (1 + h / 2) END AS p FROM res"  # the tail at 2 and 4 degrees of freedom
+
+
+@query(with_views("", "SELECT g, k::BIGINT AS k, CASE WHEN p IS NULL THEN '' WHEN p < 0.001 THEN '< 0.001' ELSE printf('%.3f', p) END AS p FROM tail", **_KW, tail=_P))
 def kruskal_p(spark, d):
     return ext.with_p(val.kruskal(kruskal_rows(spark, d))).select("g", "k", val.shown_p(F.col("p")).alias("p"))
 
