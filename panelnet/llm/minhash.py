@@ -209,25 +209,27 @@ def _cell(near: Near, exact: bool):
 CELL = ["slot", "lo", "hi"]
 
 
-def _forest(rows: DataFrame, near: Near, exact: bool, slots: int) -> DataFrame:
-    """(a, b): links that join all of ``rows`` (key, id, n_blocks, n_shingles, sig, ...) that share a key and may or do link.
+def _forest(keys: DataFrame, rows_of: Callable[[DataFrame], DataFrame], near: Near, exact: bool, slots: int) -> DataFrame:
+    """(a, b): links that join all rows (key, id, n_blocks, n_shingles, sig, ...) that share a key and may or do link.
 
+    ``rows_of`` gives the rows of some of ``keys`` (key, n_blocks): the second round is decided by the keys and reads the rows of large ones only.
     Small keys are dealt to ``slots`` cells, many in each; keys of several blocks have cells of their own, as the head of this module says.
     """
     spread = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
     cells = lambda df, pairs: df.withColumn("cell", F.explode(pairs)).select(*(c for c in df.columns if c != "n_blocks"), "cell.lo", "cell.hi")
     pair = lambda lo, hi: F.struct(F.least(lo, hi).cast("int").alias("lo"), F.greatest(lo, hi).cast("int").alias("hi"))
     own = F.when(F.col("n_blocks") > 1, F.concat(F.lit("k"), F.col("key"))).otherwise(F.concat(F.lit("s"), F.pmod("key", F.lit(slots))))
-    rows = rows.withColumns({"slot": own, "block": spread(F.col("n_blocks"), 7), "label": F.col("id")})
+    dealt = lambda some: rows_of(some).withColumns({"slot": own, "block": spread(F.col("n_blocks"), 7), "label": F.col("id")})
     zero = F.lit(0)
     within = F.array(pair(F.col("block"), F.col("block")))
     first = F.when(F.col("n_blocks") == 1, F.array(pair(zero, zero))).when(F.col("block") > 0, F.concat(within, F.array(pair(zero, F.col("block")))))
     first = first.otherwise(F.transform(F.sequence(zero, F.col("n_blocks").cast("int") - 1), lambda b: pair(zero, b)))
-    links = saved(cells(rows, first).groupBy(*CELL).applyInArrow(_cell(near, exact), "a long, b long"))
+    links = saved(cells(dealt(keys), first).groupBy(*CELL).applyInArrow(_cell(near, exact), "a long, b long"))
 
-    large = rows.filter("n_blocks > 2")
+    large = keys.filter("n_blocks > 2")
     if large.isEmpty():
         return links
+    large = dealt(large)
     done = components(links).select(F.col("node").alias("id"), "component")
     large = large.drop("label").join(done, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     parts = large.groupBy("key", "label", "n_blocks").agg(F.count("*").alias("n"))
@@ -270,18 +272,21 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id"
     member = single.select("id", "set_a", F.explode("bands").alias("key"))
     shared = saved(member.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
     rows = shared.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    member = member.join(shared, "key").select("id", "set_a", "key", F.ceil(F.col("size") / near.block_rows).alias("n_blocks"))
-    member = member.join(single.drop("bands"), ["id", "set_a"]).drop("set_a")
-    family = saved(components(_forest(member, near, False, 1 + rows // near.slot_rows)).select(F.col("node").alias("id"), F.col("component").alias("key")))
+    buckets = shared.select("key", F.ceil(F.col("size") / near.block_rows).alias("n_blocks"))
+    members = lambda keys: member.join(keys, "key").join(single.drop("bands"), ["id", "set_a"]).drop("set_a")
+    family = saved(components(_forest(buckets, members, near, False, 1 + rows // near.slot_rows)).select(F.col("node").alias("id"), F.col("component").alias("key")))
 
     signed = saved(family.join(single.drop("bands"), "id"))
     load = signed.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / near.block_rows), F.ceil(F.sum("n_shingles") / near.block_shingles)).alias("n_blocks"))
     shingles_in_all = signed.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    whole = texts.join(signed.join(load, "key").withColumnRenamed("id", "doc_id").hint("merge"), "doc_id").select("doc_id", "text", "set_a", "key", "n_blocks", "n_shingles", "sig")
-    if repeated:
-        whole = whole.dropDuplicates(["doc_id", "set_a", "text"])
-    sets = whole.mapInArrow(_setter(near), "id long, key long, n_blocks long, n_shingles long, sig binary, shingles binary")
-    links = _forest(sets, near, True, 1 + shingles_in_all // near.block_shingles)
+
+    def sets(keys: DataFrame) -> DataFrame:
+        whole = texts.join(signed.join(keys, "key").withColumnRenamed("id", "doc_id").hint("merge"), "doc_id").select("doc_id", "text", "set_a", "key", "n_blocks", "n_shingles", "sig")
+        if repeated:
+            whole = whole.dropDuplicates(["doc_id", "set_a", "text"])
+        return whole.mapInArrow(_setter(near), "id long, key long, n_blocks long, n_shingles long, sig binary, shingles binary")
+
+    links = _forest(saved(load), sets, near, True, 1 + shingles_in_all // near.block_shingles)
     group = components(links if same is None else links.unionByName(same)).select(F.col("node").alias("id"), "component")
 
     classes = classes.join(group, "id", "left").select(*key, F.coalesce("component", "id").alias("found"))
