@@ -73,3 +73,42 @@ def test_large_kmeans(spark, blobs):
     truth, x, *_ = blobs
     points = spark.createDataFrame([(n, x[n].tolist()) for n in range(60)], "id long, v array<double>")
     assert agreement(truth, [r.label for r in clu.kmeans_large(points, 3).orderBy(F.col("id")).collect()]) > 0.95
+
+
+def _planted(n, every=100):
+    """A graph of three groups: six random links of each node within its group, one in ``every`` nodes with a link to any other."""
+    rng = np.random.default_rng(3)
+    truth = np.arange(n) % 3
+    i = np.concatenate((np.repeat(np.arange(n), 6), np.arange(0, n, every)))
+    j = np.concatenate((rng.integers(0, n // 3, 6 * n) * 3 + np.repeat(truth, 6), rng.integers(0, n, len(range(0, n, every)))))
+    pairs = np.unique(np.stack((np.minimum(i, j), np.maximum(i, j)), 1)[i != j], axis=0)
+    return truth, pairs[:, 0], pairs[:, 1]
+
+
+def test_sparse_embedding_is_the_dense_one():
+    _, i, j = _planted(300, 4)
+    w = np.random.default_rng(4).uniform(0.5, 1, len(i))
+    assert np.abs(kernels.leading_vectors(300, i, j, w, 3) - kernels.spectral_embedding(kernels.adjacency(300, i, j, w), 3)).max() < 1e-6
+    i, j = np.arange(0, 1200, 2), np.arange(1, 1200, 2)  # 600 pairs and 100 nodes alone: the eigenvalue 1 is manifold, any of its vectors is constant on a part
+    e = kernels.leading_vectors(1300, i, j, np.ones(600), 4)
+    assert np.abs(e[i] - e[j]).max() < 1e-6 and np.linalg.matrix_rank(e) == 4
+
+
+def test_groups_of_more_than_20000_nodes(spark):
+    n = 21_000
+    truth, i, j = _planted(n)
+    points = spark.createDataFrame([("a", k, [float(truth[k] * 50 + k % 7), float(k % 11)]) for k in range(n)], "g string, id long, v array<double>")
+    edges = spark.createDataFrame([("a", a, b, 1.0) for a, b in zip(i.tolist(), j.tolist(), strict=True)], "g string, src long, dst long, w double")
+    for method in ("kmeans", "spectral", "ward_net"):
+        got = {r.id: r.label for r in clu.run(method, points, edges, 3).collect()}
+        assert len(got) == n and agreement(truth, np.array([got[k] for k in range(n)])) > 0.95, method
+
+
+def test_parts_are_bridged_at_their_nearest_points():
+    x = np.random.default_rng(5).standard_normal((400, 3))
+    x[100:120] = x[300:320]
+    left, right = np.arange(0, 150), np.arange(150, 400)
+    d = ((x[left][:, None] - x[right][None]) ** 2).sum(axis=2)
+    assert np.allclose(kernels.squared_distances(x[left], x[right]), d, rtol=1e-9, atol=0)
+    p, q = np.unravel_index(d.argmin(), d.shape)
+    assert kernels.nearest_pair(x, left, right) == (left[p], right[q])
