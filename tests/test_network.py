@@ -83,3 +83,12 @@ def test_components_of_a_path_in_random_order(spark):
     nodes = spark.createDataFrame([(0, k) for k in n], "t int, id long")
     edges = spark.createDataFrame([(0, min(a, b), max(a, b)) for a, b in itertools.pairwise(n)], "t int, src long, dst long")
     assert {r.component for r in net.component_labels(nodes, edges, rounds=15).collect()} == {0}
+
+
+def test_blocks_meet_once_with_wide_partners(spark):
+    rows = spark.createDataFrame([("a", k, [float(k)]) for k in range(64)], "g string, id long, v array<double>")
+    cells = net.pairs_of_blocks(rows, "g", ["id"], 4).collect()
+    assert len(cells) == 64 * 16 + 64  # pairs of equal blocks would be 64 * 31
+    left, right = ([r for r in cells if r.side == s] for s in (0, 1))
+    met = [(x.id, y.id) for x in left for y in right if (x.a, x.b) == (y.a, y.b)]
+    assert sorted(met) == [(i, j) for i in range(64) for j in range(64)]
