@@ -157,7 +157,8 @@ Confirm = Callable[[int, int], bool]
 
 
 def _joined(sig: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray | None, label: np.ndarray, near: Near, confirm: Confirm | None) -> Iterator[tuple[int, int]]:
-    """Links of a spanning forest: pairs of left and right, or within left, whose signatures come near the threshold, the likeliest first.
+    """Links of a spanning forest: pairs of left and right, or within left, whose signatures come near the threshold: the likeliest
+    first where a link must be confirmed, else in order, so that the many buckets of one group agree on its links.
 
     A pair that ``label`` shows as joined already is passed over; ``label`` is kept up to date.
     """
@@ -169,7 +170,8 @@ def _joined(sig: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray
             continue
         same = (sig[other] == sig[i]).sum(axis=1)
         ok = (same >= least) & near.may_link(n[other], n[i])
-        for j in other[ok][np.argsort(-same[ok], kind="stable")].tolist():
+        near_ones = other[ok] if confirm is None else other[ok][np.argsort(-same[ok], kind="stable")]
+        for j in near_ones.tolist():
             if label[j] != label[i] and (confirm is None or confirm(i, j)):
                 label[label == label[j]] = label[i]
                 yield i, j
@@ -179,6 +181,7 @@ def _cell(near: Near, exact: bool):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         """The rows of one pair of blocks of a large key, or of many small keys."""
         lo, hi = key[-2].as_py(), key[-1].as_py()
+        table = table.sort_by("id")  # so that the cells of a group's many buckets find the same links, which fold into one
         ids, n, block = (table[c].to_numpy() for c in ("id", "n_shingles", "block"))
         label = np.unique(table["label"].to_numpy(), return_inverse=True)[1]
         sig, confirm = _binary(table["sig"], near.slots), None
@@ -230,7 +233,7 @@ def _forest(keys: DataFrame, rows_of: Callable[[DataFrame], DataFrame], near: Ne
     if large.isEmpty():
         return links
     large = dealt(large)
-    done = components(links).select(F.col("node").alias("id"), "component")
+    done = saved(components(links).select(F.col("node").alias("id"), "component"))
     large = large.drop("label").join(done, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     parts = large.groupBy("key", "label", "n_blocks").agg(F.count("*").alias("n"))
     parts = parts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.first("n_blocks").alias("blocks")).filter("all > top.n")
@@ -243,7 +246,7 @@ def _forest(keys: DataFrame, rows_of: Callable[[DataFrame], DataFrame], near: Ne
     mains = F.transform(F.sequence(zero, F.col("m").cast("int") - 1), lambda x: pair(x, side))
     rest = rest.withColumn("pairs", F.when(F.col("is_main"), others).otherwise(F.concat(mains, others))).drop("main", "m", "r", "is_main")
     more = cells(rest, F.col("pairs")).drop("pairs").groupBy(*CELL).applyInArrow(_cell(near, exact), "a long, b long")
-    return links.unionByName(more)
+    return done.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)  # what is joined already, as stars
 
 
 def near_duplicates(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

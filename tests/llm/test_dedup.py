@@ -177,3 +177,21 @@ def test_vectors_equal_brute_force(spark, nothing):
         assert len(got) == len(rows)
         assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got if r.vec_id is not None} == {i: (count[i], want[i], want[i] == i) for i in want}
     assert near_vectors(df.limit(0)).count() == 0
+
+
+def test_joined_rows_come_as_stars(spark, monkeypatch):
+    """Links that many buckets found are not read again once the components of the first round are known."""
+    from panelnet.llm import minhash
+
+    counts, whole = [], minhash.components
+
+    def counted(links):
+        counts.append(links.count())
+        return whole(links)
+
+    monkeypatch.setattr(minhash, "components", counted)
+    texts = [(k, " ".join(f"w{n}" for n in range(300)) + f" x{k}") for k in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = minhash.near_duplicates(docs, minhash.Near(block_rows=8)).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 60
+    assert counts[1] < counts[0] / 2
