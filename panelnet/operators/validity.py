@@ -28,33 +28,51 @@ def centroids(points: DataFrame) -> DataFrame:
 
 
 def _sums(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """For a pair of blocks: sums of distances from the rows of the first to each cluster in the second."""
-    side = table["side"].to_numpy()
-    x, ids = np.stack(table["v"].to_numpy()), table["id"].to_numpy()
-    own = table["label"].to_numpy()
+    """For a pair of blocks: sums of distances from the rows of the first to clusters in the second, of n points each: to their own, to those that
+    other blocks have points of, and of those that are here whole only the nearest by the mean."""
+    side, size = table["side"].to_numpy(), table["n"].to_numpy()
+    x, ids, own = np.stack(table["v"].to_numpy()), table["id"].to_numpy(), table["label"].to_numpy()
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    labels, code = np.unique(own[right], return_inverse=True)
-    hot = np.eye(len(labels))[code]
-    out = np.zeros((len(left), len(labels)))
-    for lo in range(0, len(left), 128):
+    right = right[np.argsort(own[right], kind="stable")]
+    labels, first, code, count = np.unique(own[right], return_index=True, return_inverse=True, return_counts=True)
+    n = size[right[first]] if len(right) else np.zeros(0, int)
+    whole, most = count == n, np.finfo(float).max
+    out: list[tuple[np.ndarray, ...]] = []
+    for lo in range(0, len(left) if len(right) else 0, 128):
+        some = left[lo : lo + 128]
+        total = np.zeros((len(some), len(labels)))
         for at in range(0, len(right), 2048):
-            d = squared_distances(x[left[lo : lo + 128]], x[right[at : at + 2048]])
-            out[lo : lo + 128] += np.sqrt(d, out=d) @ hot[at : at + 2048]
-    n = len(left) * len(labels)
-    return pa.table({"g": pa.array([key[0].as_py()] * n, pa.string()), "id": pa.array(np.repeat(ids[left], len(labels))), "label": pa.array(np.repeat(own[left], len(labels))), "other": pa.array(np.tile(labels, len(left))), "d": pa.array(out.ravel())})
+            d = squared_distances(x[some], x[right[at : at + 2048]])
+            here = code[at : at + 2048]
+            starts = np.flatnonzero(np.diff(here, prepend=-1))
+            total[:, here[starts]] += np.add.reduceat(np.sqrt(d, out=d), starts, axis=1)
+        mine = own[some, None] == labels
+        rank = np.where(whole & ~mine, np.nan_to_num(total / n, nan=most, posinf=most / 2), np.inf)
+        keep = mine | ~whole
+        keep[np.arange(len(some)), rank.argmin(axis=1)] = True
+        i, j = np.nonzero(keep)
+        out.append((ids[some[i]], own[some[i]], labels[j], n[j], total[i, j]))
+    id_, label, other, n, d = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 4 + (np.zeros(0),)
+    return pa.table({"g": pa.array([key[0].as_py()] * len(d), pa.string()), "id": pa.array(id_), "label": pa.array(label), "other": pa.array(other), "n": pa.array(n), "d": pa.array(d)})
 
 
 def distance_sums(points: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(g, id, label, other, d): the sum of Euclidean distances from each point to each cluster; quadratic work in pairs of blocks."""
+    """(g, id, label, other, n, d): the sum of Euclidean distances from each point to its own cluster and to others of n points, the nearest by the mean among them.
+
+    Quadratic work in pairs of blocks. Clusters lie next to each other in wide blocks, so a point has few rows in each, however many clusters there are.
+    """
     rows = points.select(F.col("g").cast("string").alias("g"), F.col("id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), "v")
-    parts = pairs_of_blocks(rows, "g", ["id", "label", "v"], block).groupBy("g", "a", "b").applyInArrow(_sums, "g string, id long, label long, other long, d double")
-    return parts.groupBy("g", "id", "label", "other").agg(F.sum("d").alias("d"))
+    sizes = rows.groupBy("g", "label").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("g").orderBy("label").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.join(sizes.withColumn("place", F.sum("n").over(before) - F.col("n")), ["g", "label"])
+    place = F.col("place") + F.pmod(F.xxhash64("id", F.lit(1)), F.col("n"))
+    parts = pairs_of_blocks(rows, "g", ["id", "label", "n", "v"], block, place).groupBy("g", "a", "b").applyInArrow(_sums, "g string, id long, label long, other long, n long, d double")
+    return parts.groupBy("g", "id", "label", "other", "n").agg(F.sum("d").alias("d"))
 
 
 def silhouette_points(points: DataFrame) -> DataFrame:
     """(g, id, label, s): Euclidean silhouette of each point; 0 in a cluster of one."""
-    sizes = points.groupBy(F.col("g").cast("string").alias("g"), F.col("label").cast("long").alias("other")).agg(F.count("*").alias("n"))
-    d = distance_sums(points).join(sizes, ["g", "other"])
+    d = distance_sums(points)
     own = F.col("other") == F.col("label")
     ab = d.groupBy("g", "id", "label").agg(F.max(F.when(own, safe(F.col("d"), F.col("n") - 1.0))).alias("a"), F.max(F.when(own, F.col("n"))).alias("n"), F.min(F.when(~own, F.col("d") / F.col("n"))).alias("b"))
     return ab.select("g", "id", "label", F.when(F.col("n") == 1, 0.0).otherwise(F.coalesce(safe(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("s"))

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,3 +58,21 @@ def test_chi_squared_tail():
 @pytest.mark.parametrize(("x", "want"), [(0.8, "stable"), (0.7, "membership unsure"), (0.1, "unstable")])
 def test_verdict(spark, x, want):
     assert spark.range(1).select(val.verdict(F.lit(x))).first()[0] == want
+
+
+def test_silhouettes_of_many_clusters_over_small_blocks(spark):
+    rng = np.random.default_rng(1)
+    x, label = rng.standard_normal((300, 3)), rng.integers(0, 90, 300)
+    p = spark.createDataFrame([("g", i, x[i].tolist(), int(label[i])) for i in range(300)], "g string, id long, v array<double>, label long")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for block in (2048, 5):
+        sums = val.distance_sums(p, block).collect()
+        assert len(sums) <= 300 * 2 * (1 + 3 * (300 // (5 * 16) + 1) * (block == 5))  # not a row for each point and cluster
+        by = {}
+        for r in sums:
+            assert math.isclose(r.d, d[r.id, label == r.other].sum(), rel_tol=1e-9, abs_tol=1e-12) and r.n == (label == r.other).sum()
+            by.setdefault(r.id, {})[r.other] = r.d / r.n
+        for i in range(300):
+            assert label[i] in by[i]
+            want = min(d[i, label == c].mean() for c in set(label.tolist()) - {label[i]})
+            assert math.isclose(min(v for c, v in by[i].items() if c != label[i]), want, rel_tol=1e-9)
