@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelnet.functions import kernels
+from panelnet.operators.network import dealt
 
 METHODS = ("kmeans", "louvain", "spectral", "ward_net")
 
 
-def _by_group(points: DataFrame, edges: DataFrame | None, f: Callable[..., np.ndarray]) -> DataFrame:
-    """(g, id, label): f(x, i, j, w) for each group, nodes in order of id."""
+def _by_group(points: DataFrame, edges: DataFrame | None, f: Callable[..., np.ndarray], kind: str = "int") -> DataFrame:
+    """(g, id, label): f(x, i, j, w) for each group, nodes in order of id; a label is of the given kind, ``array<int>`` if f gives a row of several."""
 
     def one(key: tuple[pa.Scalar, ...], nodes: pa.Table, links: pa.Table | None = None) -> pa.Table:
         ids = nodes["id"].to_numpy()
@@ -37,22 +38,22 @@ def _by_group(points: DataFrame, edges: DataFrame | None, f: Callable[..., np.nd
             by = np.lexsort((j, i))
             i, j, w = i[by], j[by], w[by]
         label = f(x, i, j, w) if len(ids) else np.zeros(0, int)
-        return pa.table({"g": pa.array([key[0].as_py()] * len(ids), pa.string()), "id": pa.array(ids, pa.int64()), "label": pa.array(np.asarray(label), pa.int32())})
+        return pa.table({"g": pa.array([key[0].as_py()] * len(ids), pa.string()), "id": pa.array(ids, pa.int64()), "label": pa.array(np.asarray(label), pa.int32()) if kind == "int" else pa.array(list(np.asarray(label, np.int32)), pa.list_(pa.int32()))})
 
-    schema = "g string, id long, label int"
+    schema = f"g string, id long, label {kind}"
     points = points.select(F.col("g").cast("string").alias("g"), F.col("id").cast("long").alias("id"), "v")
     if edges is None:
 
         def alone(key: tuple[pa.Scalar, ...], nodes: pa.Table) -> pa.Table:
             return one(key, nodes)
 
-        return points.groupBy("g").applyInArrow(alone, schema)
+        return dealt(points, "g").groupBy("g").applyInArrow(alone, schema)
 
     def both(key: tuple[pa.Scalar, ...], nodes: pa.Table, links: pa.Table) -> pa.Table:
         return one(key, nodes, links)
 
     edges = edges.select(F.col("g").cast("string").alias("g"), "src", "dst", "w")
-    return points.groupBy("g").cogroup(edges.groupBy("g")).applyInArrow(both, schema)
+    return dealt(points, "g").groupBy("g").cogroup(dealt(edges, "g").groupBy("g")).applyInArrow(both, schema)
 
 
 def kmeans(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
@@ -75,6 +76,13 @@ def spectral(points: DataFrame, edges: DataFrame, k: int, seed: int = 42, assign
     return _by_group(points, edges, lambda x, i, j, w: kernels.spectral_of_edges(len(x), i, j, w, [k], seed, assign)[0])
 
 
+def spectral_each(points: DataFrame, edges: DataFrame, ks: list[int], seed: int = 42, assign: str = "kmeans") -> DataFrame:
+    """(g, id, k, label): spectral() for several numbers of clusters, with one embedding of each group."""
+    many = _by_group(points, edges, lambda x, i, j, w: np.stack(kernels.spectral_of_edges(len(x), i, j, w, ks, seed, assign), axis=1), "array<int>")
+    of = F.array(*map(F.lit, ks))
+    return many.select("g", "id", F.explode(F.arrays_zip(of.alias("k"), F.col("label"))).alias("x")).select("g", "id", "x.k", "x.label")
+
+
 def ward_net(points: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     return _by_group(points, edges, lambda x, i, j, w: kernels.ward_connected(x, i, j, k))
 

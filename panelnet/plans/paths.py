@@ -90,18 +90,14 @@ def k_choice(vecs: DataFrame, mean_edges: DataFrame, ks: list[int], share: float
     nodes = vecs.select("id").distinct().withColumn("v", F.array(F.lit(0.0)))
     drawn = saved(subsamples(nodes.select("id", "v", F.lit(0).alias("t")), share, repeats).select("s", "id", "v"))
     inside = saved(mean_edges.join(drawn.select("s", F.col("id").alias("src")), "src").join(drawn.select("s", F.col("id").alias("dst")), ["s", "dst"]))
-    out = []
-    for k in ks:
-        full = clu.spectral(nodes.withColumn("g", F.lit("all")), mean_edges.withColumn("g", F.lit("all")), k).select("id", F.col("label").alias("a"))
-        part = clu.spectral(drawn.withColumn("g", F.col("s")), inside.withColumn("g", F.col("s")), k)
-        pairs = saved(part.join(full, "id").select("g", "a", F.col("label").alias("b")))
-        ari = val.adjusted_rand(pairs).agg(F.avg("ari").alias("ari_mean"), F.min("ari").alias("ari_least"))
-        worst = val.best_jaccard(pairs).groupBy("g").agg(F.min("jaccard").alias("j")).agg(F.avg("j").alias("worst_jaccard"))
-        size = full.groupBy("a").count().agg(F.min("count").alias("min_size"))
-        out.append(ari.crossJoin(worst).crossJoin(size).withColumn("k", F.lit(k)))
-    while len(out) > 1:
-        out[:2] = [out[0].unionByName(out[1])]
-    return out[0]
+    full = saved(clu.spectral_each(nodes.withColumn("g", F.lit("all")), mean_edges.withColumn("g", F.lit("all")), ks).select("id", "k", F.col("label").alias("a")))
+    part = clu.spectral_each(drawn.withColumn("g", F.col("s")), inside.withColumn("g", F.col("s")), ks)
+    pairs = saved(part.join(full, ["id", "k"]).select(F.concat_ws("|", F.col("k").cast("string"), "g").alias("g"), "a", F.col("label").alias("b")))
+    of = F.split("g", r"\|")[0].cast("int").alias("k")
+    ari = val.adjusted_rand(pairs).groupBy(of).agg(F.avg("ari").alias("ari_mean"), F.min("ari").alias("ari_least"))
+    worst = val.best_jaccard(pairs).groupBy("g").agg(F.min("jaccard").alias("j")).groupBy(of).agg(F.avg("j").alias("worst_jaccard"))
+    size = full.groupBy("k", "a").count().groupBy("k").agg(F.min("count").alias("min_size"))
+    return ari.join(worst, "k").join(size, "k").select("ari_mean", "ari_least", "worst_jaccard", "min_size", "k")
 
 
 def compared(types: DataFrame, base: DataFrame) -> DataFrame:

@@ -112,3 +112,19 @@ def test_parts_are_bridged_at_their_nearest_points():
     assert np.allclose(kernels.squared_distances(x[left], x[right]), d, rtol=1e-9, atol=0)
     p, q = np.unravel_index(d.argmin(), d.shape)
     assert kernels.nearest_pair(x, left, right) == (left[p], right[q])
+
+
+def test_small_groups_run_in_tasks_of_their_own(spark):
+    points = spark.createDataFrame([(f"g{g}", n, [float(n % 3), float(g)]) for g in range(24) for n in range(9)], "g string, id long, v array<double>")
+    edges = spark.createDataFrame([(f"g{g}", n, n + 1, 1.0) for g in range(24) for n in range(8)], "g string, src long, dst long, w double")
+    for got in (clu.kmeans(points, 3), clu.louvain(points, edges)):
+        assert got.select(F.spark_partition_id()).distinct().count() >= 12
+
+
+def test_one_embedding_gives_the_labels_of_each_number_of_clusters(spark, blobs):
+    _, x, i, j, w = blobs
+    points = spark.createDataFrame([("a", n, x[n].tolist()) for n in range(60)], "g string, id long, v array<double>")
+    edges = spark.createDataFrame([("a", int(a), int(b), float(c)) for a, b, c in zip(i, j, w, strict=True)], "g string, src long, dst long, w double")
+    got = {(r.k, r.id): r.label for r in clu.spectral_each(points, edges, [2, 3, 5]).collect()}
+    for k in (2, 3, 5):
+        assert {r.id: r.label for r in clu.spectral(points, edges, k).collect()} == {n: got[k, n] for n in range(60)}
