@@ -107,63 +107,57 @@ def spectral(a: np.ndarray, k: int, seed: int = 42, assign: str = "kmeans") -> n
     return np.arange(len(a)) if len(a) <= k else _labels(spectral_embedding(a, k), seed, assign)
 
 
-def _times(first: np.ndarray, col: np.ndarray, w: np.ndarray, x: np.ndarray, part: int = 1 << 18) -> np.ndarray:
-    """The product of a sparse matrix in rows (entries first[r]:first[r + 1] are row r's) with a dense one, ``part`` entries at a time."""
-    out = np.zeros((len(first) - 1, x.shape[1]))
-    lo = 0
-    while lo < len(out):
-        hi = max(lo + 1, int(np.searchsorted(first, first[lo] + part, "right")) - 1)
-        some = lo + np.flatnonzero(first[lo:hi] < first[lo + 1 : hi + 1])  # reduceat knows no empty rows
-        if len(some):
-            at, to = first[lo], first[hi]
-            out[some] = np.add.reduceat(w[at:to, None] * x[col[at:to]], first[some] - at, axis=0)
-        lo = hi
-    return out
+def _times(i: np.ndarray, j: np.ndarray, w: np.ndarray, x: np.ndarray, part: int = 1 << 18) -> np.ndarray:
+    """The product of the symmetric matrix that has each edge once with a dense one, ``part`` edges at a time; no other copy of the edges is made."""
+    n, columns = len(x), np.ascontiguousarray(x.T)
+    out = np.zeros(columns.shape)
+    for lo in range(0, len(i), part):
+        a, b, there = (z[lo : lo + part] for z in (i, j, w))
+        a, b, back = a.astype(np.intp), b.astype(np.intp), np.where(a == b, 0, there)
+        for c, column in enumerate(columns):
+            out[c] += np.bincount(a, there * column[b], n)
+            out[c] += np.bincount(b, back * column[a], n)
+    return out.T
 
 
 def leading_vectors(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, k: int, seed: int = 42, tol: float = 1e-6, most: int = 500) -> np.ndarray:
-    """spectral_embedding() of a graph given by its edges, each once, without an n x n array.
+    """spectral_embedding() of a graph given by its edges, each once, without an n x n array or a second copy of the edges.
 
     Restarted block Krylov spaces with Rayleigh-Ritz, until every leading vector's residual is below ``tol``. The block is wider than k, so
     that eigenvalues of higher multiplicity, as of a graph in many parts, are found; what does not settle is an error, never an unsettled result.
     """
-    keep = i != j
-    loop = np.flatnonzero(~keep)
-    row, col, x = np.concatenate((i[keep], j[keep], i[loop])), np.concatenate((j[keep], i[keep], j[loop])), np.concatenate((w[keep], w[keep], w[loop]))
-    degree = np.bincount(row, x, n)
-    alone = np.flatnonzero(degree == 0)
-    root = np.sqrt(np.where(degree > 0, degree, 1))
-    row, col, x = np.concatenate((row, alone)), np.concatenate((col, alone)), np.concatenate((x / root[row] / root[col], np.ones(len(alone))))
-    order = np.argsort(row, kind="stable")
-    col, x = col[order], x[order]
-    first = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n))))
+    degree = _times(i, j, w, np.ones((n, 1)))[:, 0]
+    alone = (degree == 0)[:, None]
+    root = np.sqrt(np.where(degree > 0, degree, 1))[:, None]
+    times = lambda x: _times(i, j, w, x / root) / root + alone * x
     wide, steps = min(n, k + 8), 12
     block = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, wide)))[0]
+    basis = np.empty((n, min(n, wide * (steps + 1))), order="F")
+    inner = np.zeros((basis.shape[1],) * 2)  # its upper triangle: what a block's image has in later blocks is what those have in the block
     for _ in range(most):
-        basis, image = [block], [_times(first, col, x, block)]
-        for _ in range(steps):
-            new = image[-1]
+        lo, hi = 0, wide
+        basis[:, :hi] = block
+        for step in range(steps + 1):
+            new = times(basis[:, lo:hi])
+            inner[:hi, lo:hi] = basis[:, :hi].T @ new
+            if step == steps:
+                break
             size = np.linalg.norm(new, axis=0).max()
             for _ in range(2):
-                for b in basis:
-                    new = new - b @ (b.T @ new)
+                new = new - basis[:, :hi] @ (basis[:, :hi].T @ new)
             left, sing, _ = np.linalg.svd(new, full_matrices=False)
             left = left[:, sing > 1e-9 * max(size, 1e-300)]
-            for b in basis:
-                left = left - b @ (b.T @ left)
-            if not left.shape[1] or sum(b.shape[1] for b in basis) + left.shape[1] > n:
+            left = left - basis[:, :hi] @ (basis[:, :hi].T @ left)
+            if not left.shape[1] or hi + left.shape[1] > n:
                 break
-            left = np.linalg.qr(left)[0]
-            basis.append(left)
-            image.append(_times(first, col, x, left))
-        v, mv = np.hstack(basis), np.hstack(image)
-        inner = v.T @ mv
-        value, vector = np.linalg.eigh((inner + inner.T) / 2)
+            lo, hi = hi, hi + left.shape[1]
+            basis[:, lo:hi] = np.linalg.qr(left)[0]
+        value, vector = np.linalg.eigh(inner[:hi, :hi], UPLO="U")
         value, vector = value[::-1][:wide], vector[:, ::-1][:, :wide]
-        block = v @ vector
-        worst = np.linalg.norm(mv @ vector[:, :k] - block[:, :k] * value[:k], axis=0).max()
+        block = basis[:, :hi] @ vector
+        worst = np.linalg.norm(times(block[:, :k]) - block[:, :k] * value[:k], axis=0).max()
         if worst < tol:
-            top = block[:, :k] / root[:, None]
+            top = block[:, :k] / root
             sign = np.sign(top[np.abs(top).argmax(axis=0), np.arange(top.shape[1])])
             return top * np.where(sign == 0, 1, sign)
         block = np.linalg.qr(block)[0]

@@ -1,15 +1,17 @@
 """Clustering of many groups at once: each group's kernel runs in one task, groups run in parallel.
 
-Points are (g, id, v), edges (g, src, dst, w). A kernel holds its group's points and edges in memory, and nothing n x n beyond
-kernels.DENSE_NODES nodes; a single group too large for that takes kmeans_large().
+Points are (g, id, v), edges (g, src, dst, w). A kernel holds its group's points, and its edges at 16 bytes each, in memory, and nothing
+n x n beyond kernels.DENSE_NODES nodes; a single group too large for that takes kmeans_large().
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -21,39 +23,88 @@ from panelnet.operators.network import dealt
 METHODS = ("kmeans", "louvain", "spectral", "ward_net")
 
 
+class _Links:
+    """The edges of a group between its nodes, as positions in the ids: 16 bytes each, in arrays that grow in place."""
+
+    def __init__(self, ids: np.ndarray) -> None:
+        self.ids, self.n, self.parts = ids, 0, [np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0)]
+
+    def add(self, src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> None:
+        if not len(self.ids):
+            return
+        i, j = (np.searchsorted(self.ids, z).clip(max=len(self.ids) - 1) for z in (src, dst))
+        ok = (self.ids[i] == src) & (self.ids[j] == dst)
+        to = self.n + int(ok.sum())
+        for z, more in zip(self.parts, (i, j, w), strict=True):
+            if to > len(z):
+                z.resize(to + to // 8, refcheck=False)
+            z[self.n : to] = more[ok]
+        self.n = to
+
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        """(i, j, w) in order; the edges are given up, and no more than 32 bytes each are held meanwhile."""
+        i, j, w = self.parts
+        key = i[: self.n].astype(np.int64)
+        key *= len(self.ids)
+        key += j[: self.n]
+        self.parts = i = j = None
+        order = np.argsort(key, kind="stable")
+        w = w[: self.n][order]
+        del order
+        key.sort()
+        i = (key // max(len(self.ids), 1)).astype(np.int32)
+        key -= i.astype(np.int64) * len(self.ids)
+        return i, key.astype(np.int32), w
+
+
 def _by_group(points: DataFrame, edges: DataFrame | None, f: Callable[..., np.ndarray], kind: str = "int") -> DataFrame:
-    """(g, id, label): f(x, i, j, w) for each group, nodes in order of id; a label is of the given kind, ``array<int>`` if f gives a row of several."""
-
-    def one(key: tuple[pa.Scalar, ...], nodes: pa.Table, links: pa.Table | None = None) -> pa.Table:
-        ids = nodes["id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        x = np.stack(nodes["v"].to_numpy())[order] if len(ids) and nodes["v"].null_count == 0 else np.zeros((len(ids), 0))
-        i = j = np.zeros(0, int)
-        w = np.zeros(0)
-        if links is not None and len(links):
-            src, dst = links["src"].to_numpy(), links["dst"].to_numpy()
-            ok = np.isin(src, ids) & np.isin(dst, ids)
-            i, j, w = np.searchsorted(ids, src[ok]), np.searchsorted(ids, dst[ok]), links["w"].to_numpy()[ok]
-            by = np.lexsort((j, i))
-            i, j, w = i[by], j[by], w[by]
-        label = f(x, i, j, w) if len(ids) else np.zeros(0, int)
-        return pa.table({"g": pa.array([key[0].as_py()] * len(ids), pa.string()), "id": pa.array(ids, pa.int64()), "label": pa.array(np.asarray(label), pa.int32()) if kind == "int" else pa.array(list(np.asarray(label, np.int32)), pa.list_(pa.int32()))})
-
-    schema = f"g string, id long, label {kind}"
-    points = points.select(F.col("g").cast("string").alias("g"), F.col("id").cast("long").alias("id"), "v")
-    if edges is None:
-
-        def alone(key: tuple[pa.Scalar, ...], nodes: pa.Table) -> pa.Table:
-            return one(key, nodes)
-
-        return dealt(points, "g").groupBy("g").applyInArrow(alone, schema)
-
-    def both(key: tuple[pa.Scalar, ...], nodes: pa.Table, links: pa.Table) -> pa.Table:
-        return one(key, nodes, links)
-
-    edges = edges.select(F.col("g").cast("string").alias("g"), "src", "dst", "w")
-    return dealt(points, "g").groupBy("g").cogroup(dealt(edges, "g").groupBy("g")).applyInArrow(both, schema)
+    """(g, id, label): f(x, i, j, w) for each group, nodes in order of id; a label is of the given kind, ``array<int>`` if f gives a row of several.
+
+    A group comes to its task as a stream, nodes first: the task holds 16 bytes an edge and never the rows themselves.
+    """
+
+    def labelled(g: str | None, links: _Links, x: np.ndarray) -> pa.RecordBatch:
+        ids = links.ids
+        label = np.asarray(f(x, *links.arrays()) if len(ids) else np.zeros(0, int), np.int32)
+        return pa.record_batch({"g": pa.array([g] * len(ids), pa.string()), "id": pa.array(ids, pa.int64()), "label": pa.array(label) if kind == "int" else pa.array(list(label), pa.list_(pa.int32()))})
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, pa.RecordBatch]]:
+        for batch in batches:
+            code = batch["g"].dictionary_encode(null_encoding="encode").indices.to_numpy()
+            ends = [*(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
+            for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+                if lo < hi:
+                    yield batch["g"][lo].as_py(), batch.slice(lo, hi - lo)
+
+    def begun(ids: list[np.ndarray]) -> tuple[np.ndarray, _Links]:
+        own = np.concatenate([np.zeros(0, np.int64), *ids])
+        order = np.argsort(own, kind="stable")
+        return order, _Links(own[order])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, group in groupby(runs(batches), key=lambda run: run[0]):
+            ids, vs, links, order = [], [], None, None
+            for _, rows in group:
+                n = len(rows) - pc.sum(rows["side"]).as_py()
+                if n:
+                    nodes = rows.slice(0, n)
+                    ids.append(nodes["a"].to_numpy())
+                    vs.append(None if nodes["v"].null_count else np.array([v.split(",") if v else [] for v in nodes["v"].to_pylist()], float))
+                if n < len(rows):
+                    if links is None:
+                        order, links = begun(ids)
+                    links.add(*(rows[c].slice(n).to_numpy() for c in ("a", "b", "w")))
+            if links is None:
+                order, links = begun(ids)
+            x = np.concatenate(vs)[order] if len(order) and all(v is not None for v in vs) else np.zeros((len(order), 0))
+            yield labelled(g, links, x)
+            del links
+
+    text = F.array_join(F.col("v").cast("array<string>"), ",", "NaN").alias("v")  # exact; Spark takes the size of an Arrow list anew at each row
+    rows = points.select(F.col("g").cast("string").alias("g"), F.lit(0).alias("side"), F.col("id").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("w"), text)
+    if edges is not None:
+        rows = rows.unionByName(edges.select(F.col("g").cast("string").alias("g"), F.lit(1).alias("side"), F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("b"), F.col("w").cast("double").alias("w"), F.lit(None).cast("string").alias("v")))
+    return dealt(rows, "g").sortWithinPartitions("g", "side").mapInArrow(each, f"g string, id long, label {kind}")
 
 
 def kmeans(points: DataFrame, k: int, seed: int = 42) -> DataFrame:

@@ -1,4 +1,5 @@
 import itertools
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -128,3 +129,27 @@ def test_one_embedding_gives_the_labels_of_each_number_of_clusters(spark, blobs)
     got = {(r.k, r.id): r.label for r in clu.spectral_each(points, edges, [2, 3, 5]).collect()}
     for k in (2, 3, 5):
         assert {r.id: r.label for r in clu.spectral(points, edges, k).collect()} == {n: got[k, n] for n in range(60)}
+
+
+def test_a_task_holds_its_edges_once():
+    n, m = 20_000, 1_000_000
+    i = np.repeat(np.arange(n, dtype=np.int32), m // n)
+    j = (i + 1 + np.tile(np.arange(m // n, dtype=np.int32), n)) % n
+    tracemalloc.start()
+    kernels.leading_vectors(n, i, j.astype(np.int32), np.ones(m), 4, tol=1.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 72e6  # the edges are 16 MB, the basis 25 MB
+
+
+def test_streamed_groups_keep_vectors_and_edges_whole(spark):
+    n = 25_000  # more rows than an Arrow batch has
+    x = np.random.default_rng(6).standard_normal((n, 2))
+    points = spark.createDataFrame([(g, k, x[k].tolist()) for g in ("a", "b") for k in range(n)], "g string, id long, v array<double>")
+    edges = spark.createDataFrame([("b", n - 1 - k, k, float(k)) for k in range(n)] + [("b", 0, n, 1.0), ("c", 0, 1, 1.0)], "g string, src long, dst long, w double")
+
+    def told(x, i, j, w):
+        return (x[:, 0] > 0) + 2 * (np.bincount(i, w, len(x)) + 3 * np.bincount(j, minlength=len(x)) * (np.diff(i, prepend=0).min(initial=0) >= 0)).astype(int)
+
+    got = {(r.g, r.id): r.label for r in clu._by_group(points, edges, told).collect()}
+    assert got == {("a", k): int(x[k, 0] > 0) for k in range(n)} | {("b", k): int(x[k, 0] > 0) + 2 * (n - 1 - k + 3) for k in range(n)}
