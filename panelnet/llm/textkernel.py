@@ -75,6 +75,14 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int,
 Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+def release() -> None:
+    """Hands freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def releasing(f: Mapper) -> Mapper:
     """A mapper that hands its freed memory back at the end: idle Python workers stay beside the executor for later stages."""
 
@@ -83,10 +91,7 @@ def releasing(f: Mapper) -> Mapper:
         try:
             yield from f(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            release()
 
     return run
 

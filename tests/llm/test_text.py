@@ -219,6 +219,37 @@ def test_bigram_scores_equal_a_model_of_all_counts(spark, model):
     assert len(exact) > 10 and all(math.isclose(got[i], low[i], rel_tol=1e-9) for i in exact)
 
 
+def test_texts_are_read_as_often_however_large_the_filter_is(spark):
+    """The filter of the longer table has many times the stretches; texts go through a mapper that counts the rows it passes on."""
+    rng = random.Random(3)
+    model = ngramlm.Model(exact_words=3, part_tokens=100, round_bytes=1 << 11)
+    times = []
+    for n in (20, 400):
+        passed = spark.sparkContext.accumulator(0)
+
+        def counted(batches, passed=passed):
+            for b in batches:
+                passed.add(len(b))
+                yield b
+
+        rows = [(i, " ".join(f"w{rng.randrange(2000)}" for _ in range(20))) for i in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(counted, "doc_id long, text string")
+        assert len({r.doc_id for r in ngramlm.score_texts(docs, F.col("doc_id") % 5 != 0, model).collect()}) == n
+        times.append(passed.value / n)
+    assert times[0] == times[1] <= 5
+
+
+def test_rows_that_repeat_score_as_single_ones_with_their_counts(spark):
+    """Beyond the stretch of frequent bigrams: repeated rows are not added up in the score."""
+    rows = [(i, f"a b c d{i % 7} e{i % 5} f a b") for i in range(60)]
+    model = ngramlm.Model(exact_words=3, part_tokens=50, round_bytes=1 << 11)
+    plain = spark.createDataFrame([*rows, (500, "a b d1 e1 b c")], "doc_id long, text string")
+    more = spark.createDataFrame([*rows, *[(500, "a b d1 e1 b c")] * 3], "doc_id long, text string").repartition(3)
+    one = {r.doc_id: r.score for r in ngramlm.score_texts(plain, F.col("doc_id") < 500, model).collect()}
+    got = ngramlm.score_texts(more, F.col("doc_id") < 500, model).collect()
+    assert len(got) == 63 and all(math.isclose(r.score, one[r.doc_id], rel_tol=1e-9) for r in got)
+
+
 def test_probabilities_of_a_head_sum_to_one(spark):
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(60)]
