@@ -6,11 +6,12 @@ from datetime import date, datetime
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from panelnet import config
 from panelnet.operators import external as ext
-from panelnet.plans import export, pipeline
+from panelnet.plans import export, paths, pipeline
 from panelnet.sources import tables
 from panelnet.sources.ziprange import open_archive, open_ranges, register
 from panelnet.streaming.panel import daily_sums
@@ -138,3 +139,49 @@ def test_daily_sums_of_a_stream(spark, tmp_path):
 def test_entry_gives_rows(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns and df.count() >= 1
+
+
+def _random_vectors(spark, n=40, periods=3):
+    rng = random.Random(8)
+    return spark.createDataFrame([("base", t, i, [rng.gauss(0, 1) for _ in range(4)]) for t in range(periods) for i in range(n) if (i + t) % 9], "s string, t int, id long, v array<double>")
+
+
+@pytest.mark.parametrize("spare", [12, -7])
+def test_networks_of_subsamples_are_those_sought_anew(spark, monkeypatch, spare):
+    """From one search over all entities; with lists that are too short for many, periods are sought anew."""
+    monkeypatch.setattr(paths, "SPARE", spare)
+    vecs = _random_vectors(spark)
+    near, drawn = paths.Neighbours(vecs, 5, 0.8), paths._drawn(vecs, 0.8, 4)
+    part = paths.subsamples(vecs, 0.8, 4)
+    rows = lambda df: {(r.s, r.t, r.id, tuple(r.v)) for r in df.collect()}
+    assert rows(near.part(drawn)) == rows(part)
+    edges = lambda df: {(r.s, r.t, r.src, r.dst, round(r.w, 9)) for r in df.collect()}
+    assert edges(near.edges(drawn)) == edges(paths.knn(part, 5))
+
+
+def test_subsamples_in_parts_give_what_all_at_once_give(spark, monkeypatch):
+    vecs = _random_vectors(spark)
+    base = spark.createDataFrame([(i, i % 3) for i in range(40)], "id long, base int")
+    got = lambda: [sorted(tuple(round(y, 9) if isinstance(y, float) else y for y in r) for r in x.collect()) for x in paths.subsample_stability(vecs, base, 3, 4, 0.5, 3, repeats=4)]
+    whole = got()
+    monkeypatch.setattr(paths, "ROWS", 1)
+    assert got() == whole and len(whole[0]) == 4
+
+
+def test_smoothing_shuffles_edges_before_they_are_spread(spark):
+    rng = random.Random(2)
+    rows = [(f"s{s}", t, a, b, rng.random()) for s in range(2) for t in range(6) for a in range(8) for b in range(a + 1, 8) if rng.random() < 0.4]
+    edges = spark.createDataFrame(rows, "s string, t int, src long, dst long, w double")
+    alpha = F.when(F.col("s") == "s0", 0.3).otherwise(0.0)
+    got = paths.smoothed(edges, alpha, 6)
+    want = {}
+    for s, a in (("s0", 0.3), ("s1", 0.0)):
+        now = {}
+        for t in range(6):
+            new = {(r[2], r[3]): r[4] for r in rows if r[:2] == (s, t)}
+            now = {e: (a * now.get(e, 0) + (1 - a) * new.get(e, 0)) if t else new[e] for e in {*now, *new}}
+            want |= {(s, t, *e): w for e, w in now.items() if w > 0}
+    have = {(r.s, r.t, r.src, r.dst): r.w for r in got.collect()}
+    assert have.keys() == want.keys() and all(abs(have[k] - want[k]) < 1e-12 for k in want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange")
